@@ -1,0 +1 @@
+"""Empty on purpose: the work covered here has no streaming part."""
