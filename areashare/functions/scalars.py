@@ -25,16 +25,8 @@ def ieee_divide(x: Column, y: Column) -> Column:
     NULL on either side is NULL. A divisor of -0.0 counts as +0.0.
     """
     x, y = x.cast("double"), y.cast("double")
-    by_zero = (
-        F.when((x == 0) | F.isnan(x), F.lit(float("nan")))
-        .when(x > 0, F.lit(float("inf")))
-        .otherwise(F.lit(float("-inf")))
-    )
-    return (
-        F.when(x.isNull() | y.isNull(), F.lit(None).cast("double"))
-        .when(y == 0, by_zero)
-        .otherwise(x / y)
-    )
+    # x * inf is what IEEE 754 says x/0 is, for zero, NaN and NULL as well.
+    return F.when(y == 0, x * float("inf")).otherwise(x / y)
 
 
 def as_percent(ratio: Column) -> Column:

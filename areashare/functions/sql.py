@@ -6,13 +6,7 @@ from pyspark.sql import SparkSession
 
 IEEE_DIVIDE = """
 CREATE OR REPLACE TEMPORARY FUNCTION ieee_divide(x DOUBLE, y DOUBLE) RETURNS DOUBLE
-RETURN CASE
-  WHEN x IS NULL OR y IS NULL THEN NULL
-  WHEN y <> 0 THEN x / y
-  WHEN x = 0 OR isnan(x) THEN double('NaN')
-  WHEN x > 0 THEN double('Infinity')
-  ELSE double('-Infinity')
-END
+RETURN CASE WHEN y = 0 THEN x * double('Infinity') ELSE x / y END
 """
 
 

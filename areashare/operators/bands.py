@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areashare.functions.scalars import missing_to_null
@@ -14,6 +14,43 @@ DECILES = tuple(range(10, 100, 10))
 OUTER = (*range(1, 10), *range(91, 100))
 ALL_BANDS = tuple(sorted((*DECILES, *OUTER)))
 
+# p is the period, v a value, n how often it occurs, slice the range it is in.
+#
+# Percentile k of m values sits at position k * (m - 1) / 100, counted from 0:
+# between the value at the whole part and the next one, by the remainder. A slice
+# knows how many values of its period come before it, hence which of the wanted
+# positions it holds, and only slices that hold one are ranked.
+RANK_SQL = """
+WITH spans AS (
+  SELECT p, slice, rows,
+         sum(rows) OVER (PARTITION BY p ORDER BY slice) - rows AS before,
+         sum(rows) OVER (PARTITION BY p) AS total
+  FROM (SELECT p, slice, sum(n) AS rows FROM {sliced} GROUP BY p, slice)
+),
+positions AS (
+  SELECT p, slice, rows, before, point,
+         point * (total - 1) div 100 AS whole, point * (total - 1) % 100 AS part
+  FROM (SELECT *, explode(array(POINTS)) AS point FROM spans)
+),
+targets AS (
+  SELECT p, slice, point, part, rank - before AS rank
+  FROM (SELECT *, explode(array_distinct(array(whole, whole + sign(part)))) AS rank
+        FROM positions)
+  WHERE rank >= before AND rank < before + rows
+),
+ranked AS (
+  SELECT p, slice, v, n, sum(n) OVER (PARTITION BY p, slice ORDER BY v) AS upto
+  FROM {sliced} LEFT SEMI JOIN targets USING (p, slice)
+)
+SELECT p, point, CASE WHEN low = high THEN low ELSE low + (high - low) * (part / 100) END AS v
+FROM (
+  SELECT p, point, min(v) AS low, max(v) AS high, max(part) AS part
+  FROM ranked JOIN targets USING (p, slice)
+  WHERE rank < upto AND rank >= upto - n
+  GROUP BY p, point
+)
+"""
+
 
 def percentile_bands(
     df: DataFrame,
@@ -29,112 +66,48 @@ def percentile_bands(
     Missing values and rows without a period do not count. Between two ranks the
     value is interpolated linearly.
 
-    ``exact`` splits the sorted values into ranges and looks the ranks up, so no
-    task holds a whole period. ``grouped`` gives the same from Spark's own
-    percentile, which keeps a period's distinct values in one buffer: for areas
-    by the thousand. ``approx`` is the sketch, with its error set by
-    ``accuracy``.
+    ``exact`` sorts the distinct values into ranges and looks the ranks up, so no
+    task holds a whole period; the ranges are written to the shared folder.
+    ``grouped`` gives the same from Spark's own percentile, which keeps a period's
+    distinct values in one buffer: for areas by the thousand. ``approx`` is the
+    sketch, with its error set by ``accuracy``.
     """
     points = sorted(set(points))
     if not points or not all(isinstance(p, int) and 0 <= p <= 100 for p in points):
         raise ValueError(f"percentiles must be whole numbers from 0 to 100: {points}")
-    if value == period or {"percentile", "__n", "__slice"} & {period, value}:
-        raise ValueError(f"unusable column names {period}, {value}")
     present = df.select(
-        period, missing_to_null(F.col(value).cast("double")).alias(value)
-    ).where(F.col(period).isNotNull() & F.col(value).isNotNull())
-    if method == "approx":
-        return _unpacked(
-            present, period, value, points, F.percentile_approx(value, _shares(points), accuracy)
-        )
-    # A value shared by many areas travels as one row with a count.
-    cells = present.groupBy(period, value).agg(F.count(F.lit(1)).alias("__n"))
-    if method == "grouped":
-        return _unpacked(
-            cells, period, value, points, F.percentile(value, _shares(points), F.col("__n"))
-        )
+        F.col(period).alias("p"), missing_to_null(F.col(value).cast("double")).alias("v")
+    ).where("p IS NOT NULL AND v IS NOT NULL")
+    # A value that many areas share travels as one row with a count.
+    cells = present.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"))
+    listed = ", ".join(f"{p}L" for p in points)
+    shares = ", ".join(f"{p / 100}D" for p in points)
     if method == "exact":
-        return _by_rank(cells, period, value, points, slices)
-    raise ValueError(f"unknown method {method}")
-
-
-def _shares(points: Sequence[int]) -> list[float]:
-    return [p / 100 for p in points]
+        found = _by_rank(cells, listed, slices)
+    elif method == "grouped":
+        found = _unpacked(cells, listed, f"percentile(v, array({shares}), n)")
+    elif method == "approx":
+        found = _unpacked(present, listed, f"percentile_approx(v, array({shares}), {accuracy})")
+    else:
+        raise ValueError(f"unknown method {method}")
+    return found.select(
+        F.col("p").alias(period), F.col("point").cast("int").alias("percentile"), F.col("v").alias(value)
+    )
 
 
-def _unpacked(
-    df: DataFrame, period: str, value: str, points: Sequence[int], values: Column
-) -> DataFrame:
-    numbers = F.array(*[F.lit(p) for p in points])
-    pairs = F.arrays_zip(numbers.alias("percentile"), F.col("__values").alias("value"))
+def _unpacked(df: DataFrame, listed: str, values: str) -> DataFrame:
+    """One row per element of an array-valued aggregate."""
     return (
-        df.groupBy(period)
-        .agg(values.alias("__values"))
-        .select(period, F.inline(pairs).alias("percentile", value))
+        df.groupBy("p")
+        .agg(F.expr(values).alias("vs"))
+        .selectExpr("p", f"inline(arrays_zip(array({listed}), vs)) AS (point, v)")
     )
 
 
-def _by_rank(
-    cells: DataFrame, period: str, value: str, points: Sequence[int], slices: int | None
-) -> DataFrame:
-    keys = [period, value]
-    ranged = (
-        cells.repartitionByRange(*keys) if slices is None
-        else cells.repartitionByRange(slices, *keys)
-    )
+def _by_rank(cells: DataFrame, listed: str, slices: int | None) -> DataFrame:
+    keys = ["p", "v"]
+    ranged = cells.repartitionByRange(*keys if slices is None else (slices, *keys))
     # The range bounds come from a sample and differ from run to run. Written
-    # down, the slice numbers are the same for both reads below.
-    sliced = scratch_table(ranged.withColumn("__slice", F.spark_partition_id()), "ranks")
-
-    # Rows before each slice, within its period: one row per slice and period.
-    in_period = Window.partitionBy(period)
-    spans = (
-        sliced.groupBy(period, "__slice")
-        .agg(F.sum("__n").alias("__rows"))
-        .select(
-            period,
-            "__slice",
-            "__rows",
-            (F.sum("__rows").over(in_period.orderBy("__slice")) - F.col("__rows")).alias("__before"),
-            F.sum("__rows").over(in_period).alias("__total"),
-        )
-    )
-
-    # Percentile p of m values sits at position p * (m - 1) / 100, counted from 0:
-    # between the whole part and the next one, by the remainder.
-    number = F.array(*[F.lit(p).cast("bigint") for p in points])
-    targets = (
-        spans.withColumn("percentile", F.explode(number))
-        .withColumn("__position", F.col("percentile") * (F.col("__total") - 1))
-        .withColumn("__part", F.col("__position") % 100)
-        .withColumn("__low", F.expr("__position div 100"))
-        .withColumn("__rank", F.explode(F.array("__low", F.col("__low") + F.sign("__part").cast("bigint"))))
-        .where(
-            (F.col("__rank") >= F.col("__before"))
-            & (F.col("__rank") < F.col("__before") + F.col("__rows"))
-        )
-        .select(period, "__slice", "percentile", "__part", (F.col("__rank") - F.col("__before")).alias("__rank"))
-    )
-
-    # Only slices that hold a wanted rank are ranked.
-    wanted = targets.select(period, "__slice").distinct()
-    upto = F.sum("__n").over(Window.partitionBy(period, "__slice").orderBy(value))
-    ranked = sliced.join(wanted, [period, "__slice"], "left_semi").withColumn("__upto", upto)
-    found = ranked.join(targets, [period, "__slice"]).where(
-        (F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n"))
-    )
-
-    low, high, part = F.col("__low"), F.col("__high"), F.col("__part")
-    return (
-        found.groupBy(period, "percentile")
-        .agg(
-            F.min(value).alias("__low"),
-            F.max(value).alias("__high"),
-            F.max("__part").alias("__part"),
-        )
-        .select(
-            period,
-            F.col("percentile").cast("int").alias("percentile"),
-            F.when(low == high, low).otherwise(low + (high - low) * (part / 100)).alias(value),
-        )
-    )
+    # down, the slice numbers are the same for every read.
+    sliced = scratch_table(ranged.withColumn("slice", F.spark_partition_id()), "ranks")
+    return cells.sparkSession.sql(RANK_SQL.replace("POINTS", listed), sliced=sliced)

@@ -82,6 +82,9 @@ def snapshot_except_all(
     if dict(current.dtypes) != dict(saved.dtypes):
         raise ValueError(f"columns differ: {current.dtypes} and {saved.dtypes}")
     names = current.columns
+    reserved = {"saved_rows", "current_rows"} & set(names)
+    if reserved:
+        raise ValueError(f"rename before comparing: {', '.join(sorted(reserved))}")
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     both = saved.select(*names, one.alias("saved_rows"), none.alias("current_rows")).unionByName(
         current.select(*names, none.alias("saved_rows"), one.alias("current_rows"))

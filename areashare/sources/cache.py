@@ -8,20 +8,20 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from areashare.sources.text import read_text_table, write_text_table
 
-MANIFEST_SCHEMA = "fingerprint string, data string, schema string, written_at timestamp"
+
+def _located(spark: SparkSession, path: str):
+    """A path and the file system it is on, wherever the cluster keeps its data."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def path_state(spark: SparkSession, path: str) -> str:
     """Path, change time, size and file count: differs once the files change."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    location, fs = _located(spark, path)
     content = fs.getContentSummary(location)
     changed = fs.getFileStatus(location).getModificationTime()
     return f"{path} {changed} {content.getLength()} {content.getFileCount()}"
@@ -35,11 +35,11 @@ def fingerprint(spark: SparkSession, spec: str, inputs: Sequence[str] = ()) -> s
 
 @dataclass(frozen=True)
 class ResultCache:
-    """Results under one folder: ``data/<id>`` each, listed in ``manifest``.
+    """Results under one folder, each in ``<fingerprint>-<build>``.
 
-    Every build gets a data folder of its own and is listed only after its write
-    was committed. A build that dies half way is never read, and a refresh leaves
-    readers of the older data alone.
+    Every build gets a folder of its own and counts only once its write was
+    committed, which Spark marks with ``_SUCCESS``. A build that dies half way is
+    never read, and a refresh leaves readers of the older data alone.
     """
 
     path: str
@@ -49,47 +49,14 @@ class ResultCache:
         if self.format not in ("parquet", "csv"):
             raise ValueError(f"unknown cache format {self.format}")
 
-    def lookup(self, spark: SparkSession, key: str) -> DataFrame | None:
-        """The newest result with this fingerprint, if there is one."""
-        try:
-            listed = spark.read.schema(MANIFEST_SCHEMA).json(f"{self.path}/manifest")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        newest = (
-            listed.where(F.col("fingerprint") == key)
-            .agg(F.max_by(F.struct("data", "schema"), "written_at").alias("entry"))
-            .first()
-            .entry
-        )
-        if newest is None:
+    def newest(self, spark: SparkSession, key: str) -> str | None:
+        """Folder of the last committed build with this fingerprint."""
+        pattern, fs = _located(spark, f"{self.path}/{key}-*/_SUCCESS")
+        marks = fs.globStatus(pattern) or []
+        if not len(marks):
             return None
-        schema = T.StructType.fromJson(json.loads(newest.schema))
-        return self._read(spark, newest.data, schema)
-
-    def store(self, df: DataFrame, key: str) -> DataFrame:
-        spark = df.sparkSession
-        data = uuid.uuid4().hex
-        target = f"{self.path}/data/{data}"
-        if self.format == "parquet":
-            df.write.parquet(target)
-        else:
-            write_text_table(df, target)
-        entry = spark.range(1).select(
-            F.lit(key).alias("fingerprint"),
-            F.lit(data).alias("data"),
-            F.lit(df.schema.json()).alias("schema"),
-            F.current_timestamp().alias("written_at"),
-        )
-        entry.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        return self._read(spark, data, df.schema)
-
-    def _read(self, spark: SparkSession, data: str, schema: T.StructType) -> DataFrame:
-        target = f"{self.path}/data/{data}"
-        if self.format == "parquet":
-            return spark.read.schema(schema).parquet(target)
-        return read_text_table(spark, target, schema)
+        last = max(marks, key=lambda mark: mark.getModificationTime())
+        return last.getPath().getParent().toString()
 
     def get(
         self,
@@ -105,8 +72,20 @@ class ResultCache:
         change of the files count as a change of the description.
         """
         key = fingerprint(spark, spec, inputs)
-        found = None if refresh else self.lookup(spark, key)
-        return self.store(build(), key) if found is None else found
+        folder = None if refresh else self.newest(spark, key)
+        if self.format == "parquet":
+            if folder is None:
+                folder = f"{self.path}/{key}-{uuid.uuid4().hex}"
+                df = build()
+                df.write.parquet(folder)
+                return spark.read.schema(df.schema).parquet(folder)
+            return spark.read.parquet(folder)
+        # Text carries no types: they come from the query, which does not run.
+        df = build()
+        if folder is None:
+            folder = f"{self.path}/{key}-{uuid.uuid4().hex}"
+            write_text_table(df, folder)
+        return read_text_table(spark, folder, df.schema)
 
 
 def cached_read(

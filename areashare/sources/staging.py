@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns in use, declared: a scan needs no look at the files to know them.
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "part": "p_partkey bigint, p_brand string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_regionkey int",
+    "events": "event_id bigint, event_type string",
+}
 INPUT_TABLES = ("lineitem", "part", "supplier", "nation")
 
 
@@ -13,7 +24,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spark.read.schema(SCHEMAS[name]).parquet(table_path(sf_dir, name))
 
 
 def prescribing(spark: SparkSession, sf_dir: str) -> DataFrame:

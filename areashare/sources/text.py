@@ -12,12 +12,15 @@ TEXT_OPTIONS = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "emptyValue": '""',
 }
+# Nothing stands for NULL and "" for empty text. The reader takes what it calls
+# null value for NULL wherever it came from, so it must be no value of the data.
+WRITE_OPTIONS = TEXT_OPTIONS | {"nullValue": "", "emptyValue": '""'}
+READ_OPTIONS = TEXT_OPTIONS | {"nullValue": "\u0000", "emptyValue": ""}
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(**TEXT_OPTIONS).csv(path)
+    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
 def read_text_table(
@@ -30,7 +33,7 @@ def read_text_table(
     """
     return (
         spark.read.schema(schema)
-        .options(**TEXT_OPTIONS | {"emptyValue": ""})
+        .options(**READ_OPTIONS)
         .option("mode", "FAILFAST")
         .option("enforceSchema", "false")
         .option("multiLine", str(multiline).lower())
