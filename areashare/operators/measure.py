@@ -59,9 +59,8 @@ class ShareMeasure:
 
         The facts are summed before they meet the areas: what is shuffled is one
         partial row per task, period and area, however hot an area is, and the
-        join sees periods x areas rows, so it needs no broadcast to be cheap.
-        Summing once more afterwards keeps the meaning of join-then-group when an
-        area code is listed twice, and reuses the partitioning it finds.
+        join sees periods x areas rows, so it needs no broadcast to be cheap. An
+        area listed several times counts as often, by a factor and not by rows.
         """
         per_area = (
             self.facts(rx)
@@ -71,14 +70,17 @@ class ShareMeasure:
                 F.sum(self.items).alias(self.items),
             )
         )
-        codes = self.members(areas).select(F.col(self.area_code).alias("__code"))
-        return (
-            per_area.join(codes, F.col(self.area) == F.col("__code"))
-            .groupBy(self.period, self.area)
-            .agg(
-                F.sum(self.total_name).alias(self.total_name),
-                F.sum(self.items).alias(self.items),
-            )
+        listed = (
+            self.members(areas)
+            .groupBy(F.col(self.area_code).alias("__code"))
+            .agg(F.count(F.lit(1)).alias("__times"))
+        )
+        times = F.col("__times")
+        return per_area.join(listed, F.col(self.area) == F.col("__code")).select(
+            self.period,
+            self.area,
+            (F.col(self.total_name) * times).alias(self.total_name),
+            (F.col(self.items) * times).alias(self.items),
         )
 
     def build(self, rx: DataFrame, areas: DataFrame) -> DataFrame:

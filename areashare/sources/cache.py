@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from areashare.sources.text import read_text_table, write_text_table
 
+# Part of every fingerprint. Raise it when code changes what a description means.
+VERSION = "1"
+
 
 def _located(spark: SparkSession, path: str):
     """A path and the file system it is on, wherever the cluster keeps its data."""
@@ -29,7 +32,7 @@ def path_state(spark: SparkSession, path: str) -> str:
 
 def fingerprint(spark: SparkSession, spec: str, inputs: Sequence[str] = ()) -> str:
     """SHA-256 over the description of a result and the state of its input files."""
-    parts = [spec, *(path_state(spark, path) for path in inputs)]
+    parts = [VERSION, spec, *(path_state(spark, path) for path in inputs)]
     return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
 
