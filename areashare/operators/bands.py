@@ -14,7 +14,11 @@ DECILES = tuple(range(10, 100, 10))
 OUTER = (*range(1, 10), *range(91, 100))
 ALL_BANDS = tuple(sorted((*DECILES, *OUTER)))
 
-# p is the period, v a value, n how often it occurs, slice the range it is in.
+# Distinct values per slice: what has to be ranked around each wanted position.
+SLICE_ROWS = 65_536
+
+# p is the period, v a value, n how often it occurs, slice the run of the sorted
+# values that it is in.
 #
 # Percentile k of m values sits at position k * (m - 1) / 100, counted from 0:
 # between the value at the whole part and the next one, by the remainder. A slice
@@ -58,7 +62,7 @@ def percentile_bands(
     value: str = "perc_doacs",
     points: Sequence[int] = ALL_BANDS,
     method: str = "exact",
-    slices: int | None = None,
+    slice_rows: int = SLICE_ROWS,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per period and percentile: (period, percentile, value).
@@ -66,8 +70,9 @@ def percentile_bands(
     Missing values and rows without a period do not count. Between two ranks the
     value is interpolated linearly.
 
-    ``exact`` sorts the distinct values into ranges and looks the ranks up, so no
-    task holds a whole period; the ranges are written to the shared folder.
+    ``exact`` sorts the distinct values over all tasks, cuts them into slices and
+    looks the ranks up, so no task holds a whole period; the slices are written to
+    the shared folder.
     ``grouped`` gives the same from Spark's own percentile, which keeps a period's
     distinct values in one buffer: for areas by the thousand. ``approx`` is the
     sketch, with its error set by ``accuracy``.
@@ -83,7 +88,7 @@ def percentile_bands(
     listed = ", ".join(f"{p}L" for p in points)
     shares = ", ".join(f"{p / 100}D" for p in points)
     if method == "exact":
-        found = _by_rank(cells, listed, slices)
+        found = _by_rank(cells, listed, slice_rows)
     elif method == "grouped":
         found = _unpacked(cells, listed, f"percentile(v, array({shares}), n)")
     elif method == "approx":
@@ -104,10 +109,14 @@ def _unpacked(df: DataFrame, listed: str, values: str) -> DataFrame:
     )
 
 
-def _by_rank(cells: DataFrame, listed: str, slices: int | None) -> DataFrame:
-    keys = ["p", "v"]
-    ranged = cells.repartitionByRange(*keys if slices is None else (slices, *keys))
+def _by_rank(cells: DataFrame, listed: str, slice_rows: int) -> DataFrame:
+    # The id counts up within a partition and from one to the next, like the sort.
+    numbered = (
+        cells.repartitionByRange("p", "v")
+        .sortWithinPartitions("p", "v")
+        .withColumn("slice", F.expr(f"monotonically_increasing_id() div {slice_rows}"))
+    )
     # The range bounds come from a sample and differ from run to run. Written
-    # down, the slice numbers are the same for every read.
-    sliced = scratch_table(ranged.withColumn("slice", F.spark_partition_id()), "ranks")
+    # down, the slices are the same for every read.
+    sliced = scratch_table(numbered, "ranks")
     return cells.sparkSession.sql(RANK_SQL.replace("POINTS", listed), sliced=sliced)

@@ -22,6 +22,17 @@ def oracle():
     con.close()
 
 
+SPARK_TYPES = {
+    "INTEGER": "int",
+    "BIGINT": "bigint",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
 def comparable(found, columns):
     by_name = sorted(range(len(columns)), key=columns.__getitem__)
     table = [tuple(row[i] for i in by_name) for row in found]
@@ -37,7 +48,7 @@ def test_query(spark, oracle, name):
     df = QUERIES[name](spark, SF)
     expected = oracle.execute(ORACLE[name])
     columns = [c[0] for c in expected.description]
-    assert sorted(df.columns) == sorted(columns)
+    assert dict(df.dtypes) == {c[0]: SPARK_TYPES[str(c[1])] for c in expected.description}
     expected_rows = expected.fetchall()
     found = df.collect()
     assert comparable(found, df.columns) == comparable(expected_rows, columns)
