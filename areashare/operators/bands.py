@@ -38,13 +38,14 @@ positions AS (
 ),
 targets AS (
   SELECT p, slice, point, part, rank - before AS rank
-  FROM (SELECT *, explode(array_distinct(array(whole, whole + sign(part)))) AS rank
+  FROM (SELECT *, explode(array_distinct(array(whole, whole + if(part > 0, 1, 0)))) AS rank
         FROM positions)
   WHERE rank >= before AND rank < before + rows
 ),
 ranked AS (
-  SELECT p, slice, v, n, sum(n) OVER (PARTITION BY p, slice ORDER BY v) AS upto
+  SELECT p, slice, v, n, sum(n) OVER w AS upto
   FROM {sliced} LEFT SEMI JOIN targets USING (p, slice)
+  WINDOW w AS (PARTITION BY p, slice ORDER BY v ROWS UNBOUNDED PRECEDING)
 )
 SELECT p, point, CASE WHEN low = high THEN low ELSE low + (high - low) * (part / 100) END AS v
 FROM (

@@ -30,6 +30,11 @@ class ShareMeasure:
     total_name: str = "doacs"
     share_name: str = "perc_doacs"
 
+    def __post_init__(self):
+        for code in self.numerator.codes:
+            if not any(code.startswith(d) or d.startswith(code) for d in self.denominator.codes):
+                raise ValueError(f"{code} counts in the numerator but not in the denominator")
+
     def period_expr(self) -> Column:
         return period_date(F.col(self.period), self.grain)
 

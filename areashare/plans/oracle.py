@@ -17,7 +17,9 @@ IN_NUMERATOR = "substr(bnf_code, 1, 7) IN ('Brand#1', 'Brand#3', 'Brand#4')"
 IN_DENOMINATOR = "substr(bnf_code, 1, 7) IN ('Brand#1', 'Brand#3', 'Brand#4', 'Brand#5')"
 SINCE = "month >= TIMESTAMP '1996-01-01 00:00:00'"
 
-MEASURE = f"""
+
+def _measure(in_denominator: str) -> str:
+    return f"""
   SELECT period AS month, pct, CAST(doacs AS BIGINT) AS doacs,
          100 * (CAST(doacs AS DOUBLE) / CAST(total AS DOUBLE)) AS perc_doacs
   FROM (
@@ -25,9 +27,13 @@ MEASURE = f"""
            sum(CASE WHEN {IN_NUMERATOR} THEN items ELSE 0 END) AS doacs,
            sum(items) AS total
     FROM rx JOIN areas ON pct = code
-    WHERE {IN_DENOMINATOR} AND org_type = 'CCG' AND {SINCE}
+    WHERE {in_denominator} AND org_type = 'CCG' AND {SINCE}
     GROUP BY period, pct)"""
 
+
+MEASURE = _measure(IN_DENOMINATOR)
+REVISED = _measure(IN_DENOMINATOR.replace("Brand#5", "Brand#2"))
+
 LATEST = "SELECT * FROM measure WHERE month = (SELECT max(month) FROM measure)"
 
 DECILES = tuple(range(10, 100, 10))
@@ -52,11 +58,7 @@ FROM (
 
 SHADE = "round((least(greatest(perc_doacs, 10.0), 90.0) - 10.0) / 80.0, 9)"
 
-SNAPSHOTS = (
-    "cur AS (SELECT * FROM measure WHERE pct % 10 <> 0)",
-    """sav AS (SELECT month, pct, CASE WHEN pct % 7 = 0 THEN doacs + 1 ELSE doacs END AS doacs,
-             perc_doacs FROM measure WHERE pct % 11 <> 0)""",
-)
+SNAPSHOTS = (f"cur AS ({REVISED})", "sav AS (SELECT * FROM measure)")
 
 STATUS = """CASE WHEN c.pct IS NULL THEN 'missing' WHEN s.pct IS NULL THEN 'unexpected'
             ELSE 'changed' END AS status,
@@ -92,13 +94,15 @@ SELECT l_orderkey,
        CASE WHEN y <> 0 THEN 'finite' WHEN x = 0 THEN 'nan' ELSE 'inf' END AS class,
        CASE WHEN y <> 0 THEN round(x / y, 6) END AS ratio
 FROM sums""",
-    "percent_scale": _with("SELECT month, pct, doacs / total AS ratio, 100 * (doacs / total) AS perc_doacs FROM sums",
+    "percent_scale": _with(
+        "SELECT month, pct, doacs / total AS ratio, 100 * (doacs / total) AS perc_doacs FROM sums",
         f"""sums AS (
   SELECT period AS month, pct, CAST(sum(items) AS DOUBLE) AS total,
          CAST(sum(CASE WHEN {IN_NUMERATOR} THEN items ELSE 0 END) AS DOUBLE) AS doacs
   FROM rx JOIN areas ON pct = code
   WHERE {IN_DENOMINATOR} AND org_type = 'CCG' AND {SINCE}
-  GROUP BY period, pct)"""),
+  GROUP BY period, pct)""",
+    ),
     "parse_period": _with(
         "SELECT pct, CAST(strftime(month, '%Y-%m-%d') AS TIMESTAMP) AS month FROM rx"
     ),
@@ -111,7 +115,8 @@ FROM sums""",
     ),
     "filter_period_from": _with(f"SELECT month, pct, bnf_code, items FROM rx WHERE {SINCE}"),
     "filter_conjunction": _with(
-        f"SELECT month, pct, bnf_code, items FROM rx WHERE {IN_DENOMINATOR} AND {SINCE} AND items > 10"
+        f"""SELECT month, pct, bnf_code, items, org_type FROM rx JOIN areas ON pct = code
+WHERE {IN_DENOMINATOR} AND org_type = 'CCG' AND {SINCE}"""
     ),
     "latest_period_rows": _with(LATEST),
     "join_fact_area": _with(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import functools
 from collections.abc import Callable
@@ -35,6 +36,11 @@ BRAND_SHARE = ShareMeasure(
     area_type="CCG",
     since=datetime.date(1996, 1, 1),
 )
+# The same share with another group of brands in the denominator: what a saved
+# table is compared with after a change of definition.
+REVISED_SHARE = dataclasses.replace(
+    BRAND_SHARE, denominator=NUMERATOR | CodeSet.of("Brand#2")
+)
 SCALE = (10, 90)
 
 MEASURE_SQL = """
@@ -55,19 +61,24 @@ FROM (
 """
 
 
-def measure_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BRAND_SHARE.build(staging.prescribing(spark, sf_dir), staging.areas(spark, sf_dir))
+def measure_from_tables(
+    spark: SparkSession, sf_dir: str, share: ShareMeasure = BRAND_SHARE
+) -> DataFrame:
+    return share.build(staging.prescribing(spark, sf_dir), staging.areas(spark, sf_dir))
 
 
 def measure_table(
-    spark: SparkSession, sf_dir: str, format: str = "parquet", refresh: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    share: ShareMeasure = BRAND_SHARE,
+    format: str = "parquet",
+    refresh: bool = False,
 ) -> DataFrame:
     """The measure, kept in the shared folder for the life of the application."""
-    spec = f"{spark.sparkContext.applicationId} {BRAND_SHARE!r}"
     return ResultCache(f"{shared_folder(spark)}/areashare/measure-{format}", format).get(
         spark,
-        spec,
-        lambda: views.ordered(measure_from_tables(spark, sf_dir), "month", "pct"),
+        f"{spark.sparkContext.applicationId} {share!r}",
+        lambda: views.ordered(measure_from_tables(spark, sf_dir, share), "month", "pct"),
         inputs=[staging.table_path(sf_dir, name) for name in staging.INPUT_TABLES],
         refresh=refresh,
     )
@@ -203,8 +214,13 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
 
     @query
     def filter_conjunction(spark, d):
-        return rx(spark, d).where(
-            share.in_denominator() & share.from_period() & (F.col("items") > 10)
+        fact, dim = rx(spark, d), areas(spark, d)
+        return (
+            fact.join(dim, fact.pct == dim.code)
+            .where(
+                share.in_denominator() & (F.col("org_type") == share.area_type) & share.from_period()
+            )
+            .select("month", "pct", "bnf_code", "items", "org_type")
         )
 
     @query
@@ -306,12 +322,7 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
         return snapshot.sanitise_text(events, "text")
 
     def two_snapshots(spark, d):
-        measure = kept(spark, d)
-        pct = F.col("pct")
-        shifted = F.when(pct % 7 == 0, F.col("doacs") + 1).otherwise(F.col("doacs"))
-        current = measure.where(pct % 10 != 0)
-        saved = measure.where(pct % 11 != 0).withColumn("doacs", shifted)
-        return current, saved
+        return kept(spark, d, REVISED_SHARE), kept(spark, d)
 
     @query
     def snapshot_diff(spark, d):

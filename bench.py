@@ -1,6 +1,7 @@
-"""Time the headline queries: one warm-up of all, then the median of five runs each.
+"""Time the headline queries: one warm-up, then the median of five runs each.
 
-Every run builds its DataFrame anew and rebuilds the measure table it reads, so
+The runs go round by round through all queries, so that none is timed in a colder
+JVM than the others. Every run builds its DataFrame anew and rebuilds the measure table it reads, so
 nothing is taken from an earlier run. Prints one JSON line.
 """
 
@@ -59,12 +60,11 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = session(cpus)
     found = build_queries(refresh=True)
-    seconds = {}
-    for name in names:
-        timed(found[name], spark, sf_dir)
-    for name in names:
-        runs = [timed(found[name], spark, sf_dir) for _ in range(RUNS)]
-        seconds[name] = round(statistics.median(runs), 4)
+    runs = {name: [] for name in names}
+    for _ in range(1 + RUNS):
+        for name in names:
+            runs[name].append(timed(found[name], spark, sf_dir))
+    seconds = {name: round(statistics.median(taken[1:]), 4) for name, taken in runs.items()}
     print(
         json.dumps(
             {

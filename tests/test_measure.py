@@ -85,6 +85,14 @@ def test_without_area_type_and_start(rx, areas):
     assert (JAN, "X99", 10, 100.0) in found
 
 
+def test_numerator_within_denominator():
+    whole = CodeSet.of("0208")
+    ShareMeasure(numerator=CodeSet.of("0208020Z0"), denominator=whole)
+    ShareMeasure(numerator=whole, denominator=CodeSet.of("0208020Z0"))
+    with pytest.raises(ValueError, match="0301"):
+        ShareMeasure(numerator=CodeSet.of("0301"), denominator=whole)
+
+
 def test_properties(spark):
     share = BRAND_SHARE.build(staging.prescribing(spark, SF), staging.areas(spark, SF))
     assert share.where("perc_doacs < 0 OR perc_doacs > 100 OR perc_doacs IS NULL").isEmpty()
