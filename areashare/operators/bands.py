@@ -14,7 +14,8 @@ DECILES = tuple(range(10, 100, 10))
 OUTER = (*range(1, 10), *range(91, 100))
 ALL_BANDS = tuple(sorted((*DECILES, *OUTER)))
 
-# Distinct values per slice: what has to be ranked around each wanted position.
+# Distinct values per slice: what has to be ranked around each wanted position. A
+# period of a billion values has some 15,000 slices, whose sizes are added up.
 SLICE_ROWS = 65_536
 
 # p is the period, v a value, n how often it occurs, slice the run of the sorted
