@@ -91,31 +91,30 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
     kept = functools.partial(measure_table, refresh=refresh)
     found: dict[str, Query] = {}
 
-    def query(fn: Query) -> Query:
-        found[fn.__name__] = fn
-        return fn
+    def query(name: str) -> Callable[[Query], Query]:
+        return lambda fn: found.setdefault(name, fn)
 
     # Sources and sinks
 
-    @query
+    @query("scan_prescribing")
     def scan_prescribing(spark, d):
         return rx(spark, d)
 
-    @query
+    @query("scan_areas")
     def scan_areas(spark, d):
         return areas(spark, d)
 
-    @query
+    @query("cached_measure")
     def cached_measure(spark, d):
         return kept(spark, d)
 
-    @query
+    @query("cached_measure_csv")
     def cached_measure_csv(spark, d):
         return kept(spark, d, format="csv")
 
     # Projections and scalar functions
 
-    @query
+    @query("project_alias")
     def project_alias(spark, d):
         return rx(spark, d).select(
             F.col("month").alias("shipped"),
@@ -124,27 +123,27 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             F.col("items").alias("n_items"),
         )
 
-    @query
+    @query("period_date")
     def period_date(spark, d):
         return rx(spark, d).select(
             "pct", F.to_date("month").alias("day"), share.period_expr().alias("period")
         )
 
-    @query
+    @query("code_prefix")
     def code_prefix_rows(spark, d):
         return rx(spark, d).select("bnf_code", code_prefix(F.col("bnf_code"), 7).alias("prefix"))
 
-    @query
+    @query("code_set_flag")
     def code_set_flag(spark, d):
         flag = share.numerator.matches(F.col("bnf_code"))
         return rx(spark, d).select("bnf_code", "items", flag.cast("int").alias("in_numerator"))
 
-    @query
+    @query("case_items")
     def case_items_rows(spark, d):
         counted = case_items(share.numerator.matches(F.col("bnf_code")), F.col("items"))
         return rx(spark, d).select("pct", "bnf_code", counted.alias("doacs"))
 
-    @query
+    @query("ieee_divide")
     def ieee_divide_rows(spark, d):
         returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
         filled = F.when(
@@ -172,7 +171,7 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             )
         )
 
-    @query
+    @query("percent_scale")
     def percent_scale(spark, d):
         sums = share.sums(rx(spark, d), areas(spark, d))
         ratio = ieee_divide(F.col("doacs"), F.col("items"))
@@ -180,39 +179,39 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             "month", "pct", ratio.alias("ratio"), as_percent(ratio).alias("perc_doacs")
         )
 
-    @query
+    @query("parse_period")
     def parse_period_rows(spark, d):
         text = rx(spark, d).select("pct", F.date_format("month", "yyyy-MM-dd").alias("text"))
         return text.select("pct", parse_period(F.col("text")).alias("month"))
 
-    @query
+    @query("drop_column")
     def drop_column(spark, d):
         return kept(spark, d).drop("perc_doacs")
 
-    @query
+    @query("period_label")
     def period_label_rows(spark, d):
         return kept(spark, d).select("month", "pct", period_label(F.col("month")).alias("label"))
 
-    @query
+    @query("scale_clamp")
     def scale_clamp_rows(spark, d):
         shade = scale_clamp(F.col("perc_doacs"), *SCALE)
         return kept(spark, d).select("month", "pct", F.round(shade, 9).alias("shade"))
 
     # Filters
 
-    @query
+    @query("filter_code_set")
     def filter_code_set(spark, d):
         return rx(spark, d).where(share.in_denominator())
 
-    @query
+    @query("filter_area_type")
     def filter_area_type(spark, d):
         return share.members(areas(spark, d))
 
-    @query
+    @query("filter_period_from")
     def filter_period_from(spark, d):
         return rx(spark, d).where(share.from_period())
 
-    @query
+    @query("filter_conjunction")
     def filter_conjunction(spark, d):
         fact, dim = rx(spark, d), areas(spark, d)
         return (
@@ -223,27 +222,27 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             .select("month", "pct", "bnf_code", "items", "org_type")
         )
 
-    @query
+    @query("latest_period_rows")
     def latest_period_rows(spark, d):
         return views.latest_period_rows(kept(spark, d))
 
     # Joins
 
-    @query
+    @query("join_fact_area")
     def join_fact_area(spark, d):
         fact, dim = rx(spark, d), areas(spark, d)
         return fact.join(dim, fact.pct == dim.code).select(
             "month", "pct", "bnf_code", "items", "name", "org_type"
         )
 
-    @query
+    @query("area_layer")
     def area_layer(spark, d):
         layer = views.area_layer(share.members(areas(spark, d)), kept(spark, d), *SCALE)
         return layer.withColumn("shade", F.round("shade", 9))
 
     # Aggregations
 
-    @query
+    @query("group_sum")
     def group_sum(spark, d):
         return (
             rx(spark, d)
@@ -251,7 +250,7 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             .agg(F.sum("items").alias("items"))
         )
 
-    @query
+    @query("conditional_sum")
     def conditional_sum(spark, d):
         return (
             rx(spark, d)
@@ -259,20 +258,20 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             .agg(F.sum(share.numerator_items()).alias("doacs"))
         )
 
-    @query
+    @query("share_measure")
     def share_measure(spark, d):
         return measure_from_tables(spark, d)
 
-    @query
+    @query("share_measure_sql")
     def share_measure_sql(spark, d):
         register_sql_functions(spark)
         return spark.sql(MEASURE_SQL, rx=rx(spark, d), areas=areas(spark, d))
 
-    @query
+    @query("national_rollup")
     def national_rollup(spark, d):
         return views.national_rollup(kept(spark, d))
 
-    @query
+    @query("latest_period")
     def latest_period(spark, d):
         return views.latest_label(kept(spark, d))
 
@@ -280,55 +279,56 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
         found_bands = bands.percentile_bands(kept(spark, d), points=points)
         return found_bands.withColumn("perc_doacs", F.round("perc_doacs", 6))
 
-    @query
+    @query("period_deciles")
     def period_deciles(spark, d):
         return rounded_bands(spark, d, bands.DECILES)
 
-    @query
+    @query("period_outer_percentiles")
     def period_outer_percentiles(spark, d):
         return rounded_bands(spark, d, bands.OUTER)
 
-    @query
+    @query("percentile_bands")
     def percentile_bands(spark, d):
         return rounded_bands(spark, d, bands.ALL_BANDS)
 
     # Sorts
 
-    @query
+    @query("ordered_measure")
     def ordered_measure(spark, d):
         return views.ordered(measure_from_tables(spark, d), "month", "pct")
 
-    @query
+    @query("ordered_rollup")
     def ordered_rollup(spark, d):
         return views.ordered(views.national_rollup(kept(spark, d)), "month")
 
     # Splits
 
-    @query
+    @query("area_panel")
     def area_panel(spark, d):
         flag = views.panel(F.col("is_london"))
         return areas(spark, d).select("code", "name", flag.alias("panel"))
 
     # Regression checks
 
-    @query
+    @query("sanitise_text")
     def sanitise_text(spark, d):
         event, kind = F.md5(F.col("event_id").cast("string")), F.md5("event_type")
-        uuid = F.concat_ws(
-            "-", *[kind.substr(start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        parts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+        uuid = F.concat_ws("-", *[kind.substr(start, n) for start, n in parts])
+        text = F.concat(
+            F.lit("obj at 0x"), event.substr(1, 12), F.lit(" run "), uuid, F.lit(" "), "event_type"
         )
-        text = F.concat(F.lit("obj at 0x"), event.substr(1, 12), F.lit(" run "), uuid, F.lit(" "), "event_type")
         events = staging.table(spark, d, "events").select("event_id", text.alias("text"))
         return snapshot.sanitise_text(events, "text")
 
     def two_snapshots(spark, d):
         return kept(spark, d, REVISED_SHARE), kept(spark, d)
 
-    @query
+    @query("snapshot_diff")
     def snapshot_diff(spark, d):
         return snapshot.snapshot_diff(*two_snapshots(spark, d), keys=["month", "pct"])
 
-    @query
+    @query("snapshot_diff_ignore")
     def snapshot_diff_ignore(spark, d):
         return snapshot.snapshot_diff(
             *two_snapshots(spark, d),
@@ -337,16 +337,8 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             ignore_where=F.col("month") < F.lit(datetime.date(1998, 1, 1)),
         )
 
-    @query
+    @query("snapshot_except_all")
     def snapshot_except_all(spark, d):
         return snapshot.snapshot_except_all(*two_snapshots(spark, d))
 
-    renamed = {
-        "code_prefix_rows": "code_prefix",
-        "case_items_rows": "case_items",
-        "ieee_divide_rows": "ieee_divide",
-        "parse_period_rows": "parse_period",
-        "period_label_rows": "period_label",
-        "scale_clamp_rows": "scale_clamp",
-    }
-    return {renamed.get(name, name): fn for name, fn in found.items()}
+    return found
