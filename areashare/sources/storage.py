@@ -8,20 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Where a session on one machine keeps such tables if it names no folder.
+OWN_FOLDER = "spark.areashare.scratch.dir"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
 
-    A session on one machine may leave it unset; a cluster may not, since a
-    machine's own temporary folder is lost with the machine.
+    There is no fallback to a machine's own temporary folder, which is lost with the machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return f"{tempfile.gettempdir()}/areashare-local"
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def own_folder(spark: SparkSession) -> None:
+    """Give a session on one machine that names no shared folder one of its own, as for tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
+    master = spark.conf.get("spark.master", "")
+    if not named and (master == "local" or master.startswith("local[")):
+        spark.conf.set(OWN_FOLDER, tempfile.mkdtemp(prefix="areashare-"))
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

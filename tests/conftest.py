@@ -1,6 +1,7 @@
 import datetime
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -20,6 +21,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="areashare-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
