@@ -47,6 +47,8 @@ def update_state(spark: SparkSession, path: str, state_dir: str, digest=sha256)
         session.conf.set(name, spark.conf.get(name))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.compression.codec", "zstd")
+    # A small store is not to hold disk space ahead of its needs.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     schema = spark.read.parquet(path).schema
     # Files of any age count. As a pattern, the path may be one file as well as a folder.
     folder, _, name = path.rstrip("/").rpartition("/")
