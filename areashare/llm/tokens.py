@@ -16,8 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Words kept per worker; past that the table starts again.
-KEPT_WORDS = 600_000
+# Words kept per worker; past that, those not met twice since the last time go.
+KEPT_WORDS = 500_000
 # Bytes of text encoded at a time, one longer text apart.
 SLICE_BYTES = 1 << 20
 # What special tokens begin with, which are found in a text as it stands.
@@ -53,13 +53,21 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
         self.number = _Numbers()
         self.pool = np.empty(0, np.uint32)
         self.begin = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
+        self.met = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.met > 1)
+        words = list(self.number)
+        self.number = _Numbers()
+        self.number.update((words[i], n) for n, i in enumerate(stay.tolist()))
+        size = self.size[stay]
+        upto = np.cumsum(size)
+        self.pool = self.pool[np.repeat(self.begin[stay] - upto + size, size) + np.arange(size.sum())]
+        self.begin, self.size, self.met = upto - size, size, np.zeros_like(size)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -89,7 +97,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text closed by ``end_id``, and where each text ends."""
         if len(self.number) > KEPT_WORDS:
-            self._clear()
+            self._forget()
         split = [words_of(text) for text in texts]
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         words = itertools.chain.from_iterable(split)
@@ -97,6 +105,9 @@ class WordEncoder:
         if self.number.fresh:
             self._learn(self.number.fresh)
             self.number.fresh = []
+        self.met = np.bincount(slots, minlength=len(self.size)) + np.pad(
+            self.met, (0, len(self.size) - len(self.met))
+        )
         size = self.size[slots]
         upto = np.concatenate([[0], np.cumsum(size)])
         ends = upto[np.cumsum(n_words)]
