@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areashare.sources.storage import scratch_table
@@ -36,43 +36,51 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))).cast("bigint")
 
 
-def tempered_targets(cells: DataFrame, temperatures: Mapping[str, float]) -> dict[str, DataFrame]:
-    """Per dimension, its values and the share of tokens that each is to have."""
-    targets = {}
-    for name, power in temperatures.items():
-        sums = cells.groupBy(name).agg(F.sum("tokens").alias("sum"))
-        sums = scratch_table(
-            sums.select(name, F.pow(F.col("sum").cast("double"), F.lit(power)).alias("part")), "parts"
-        )
-        total = sums.agg(F.sum("part")).first()[0]
-        targets[name] = sums.select(name, (F.col("part") / F.lit(total)).alias("target"))
-    return targets
+def tempered_targets(cells: DataFrame, temperatures: Mapping[str, float]) -> DataFrame:
+    """``cells`` with the share of tokens that each dimension's value is to have."""
+    sums = cells
+    for name in temperatures:
+        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
+        sums = sums.withColumn(f"target_{name}", own)
+    parts = {
+        name: F.pow(F.col(f"target_{name}"), F.lit(power)) for name, power in temperatures.items()
+    }
+    # A value's cells hold all its tokens, so that each value counts once.
+    totals = sums.agg(
+        *[F.sum(part * F.col("tokens") / F.col(f"target_{name}")).alias(name) for name, part in parts.items()]
+    ).first()
+    return sums.withColumns(
+        {f"target_{name}": part / F.lit(totals[name] or 1.0) for name, part in parts.items()}
+    )
+
+
+def given_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """``cells`` with given shares: per dimension a table of its name and ``target``.
+
+    A value without a target gets none of the tokens.
+    """
+    for name, target in targets.items():
+        wanted = target.select(F.col(name).alias("_value"), F.col("target").cast("double").alias("_target"))
+        cells = cells.join(wanted, F.col(name).eqNullSafe(F.col("_value")), "left")
+        share = F.coalesce("_target", F.lit(0.0)).alias(f"target_{name}")
+        cells = cells.select(*[c for c in cells.columns if c[0] != "_"], share)
+    return cells
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
     """Iterative proportional fitting: ``cells`` with a weight such that the tokens
     times the weights have the target shares in every dimension.
 
-    A round goes through the dimensions and scales the cells of each value to its target. Only cells and
-    sums per value travel, not documents; each step is written, so that the plan stays short.
-    Targets for values without tokens are given up: the others share the rest in proportion. Values
-    without a target get weight 0.
+    A round goes through the dimensions and scales the cells of each value to its target. What is gathered per
+    value are cells, one row for each combination with the values of the other dimensions; documents
+    stay where they are. All rounds are one plan over the cells, which are written down before.
     """
     raked = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
-        for name, target in targets.items():
-            sums = raked.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("sum"))
-            wanted = target.select(F.col(name).alias("_value"), "target")
-            factors = sums.join(wanted, F.col(name).eqNullSafe(F.col("_value"))).select(
-                "_value", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor")
-            )
-            joined = raked.join(factors, F.col(name).eqNullSafe(F.col("_value")), "left")
-            raked = scratch_table(
-                joined.withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop(
-                    "_value", "factor"
-                ),
-                "raked",
-            )
+        for name in names:
+            held = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(name))
+            factor = F.when(held > 0, F.col(f"target_{name}") / held).otherwise(0.0)
+            raked = raked.withColumn("weight", F.col("weight") * factor)
     return raked
 
 
@@ -94,8 +102,7 @@ def mix(
     Columns: doc_id, source, lang, topic, tokens, probability, sampled, and ``row``, the input row. Token
     weights are raked to the marginals of source, lang and topic; probabilities are the weights divided by
     the greatest of them, so that documents of the most wanted cell all stay, and the expected tokens
-    have the target shares. ``targets`` (per dimension its name and ``target``) replace the tempered
-    shares. A null source or lang is a value like any other, a null text counts as empty and weighs one
+    have the target shares. ``targets`` replace the tempered shares, see ``given_targets``. A null source or lang is a value like any other, a null text counts as empty and weighs one
     token. Repeated rows, and all with one doc_id in one cell, stay or go together. An empty
     table gives an empty one.
     """
@@ -110,7 +117,8 @@ def mix(
     )
     names = list(TEMPERATURES)
     cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or tempered_targets(cells, temperatures), rounds)
+    aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
+    raked = scratch_table(rake(aimed, names, rounds), "raked")
     top = raked.agg(F.max("weight")).first()[0] or 1.0
     shares = raked.select(
         *[F.col(name).alias(f"_{name}") for name in names],

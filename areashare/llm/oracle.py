@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from areashare.llm.mixing import ROUNDS, SEED, TEMPERATURES, TOPICS
+
+OP1 = r"""
+WITH keyed AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER best AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER best AS kept,
+       text_sha256
+FROM keyed
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+
+
+def _mixing() -> str:
+    """The raking rounds as one view after the other."""
+    topic = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
+    names = ", ".join(TEMPERATURES)
+    marked = rf"""
+marked AS (
+  SELECT *, CASE {topic} ELSE 'prose' END AS topic,
+         greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS tokens
+  FROM documents),
+cells AS (SELECT {names}, sum(tokens)::BIGINT AS tokens FROM marked GROUP BY ALL)"""
+    views = [marked]
+    for name, power in TEMPERATURES.items():
+        views.append(
+            f"t_{name} AS (SELECT {name} AS v_{name}, p / sum(p) OVER () AS target_{name} FROM"
+            f" (SELECT {name}, pow(sum(tokens)::DOUBLE, {power}) AS p FROM cells GROUP BY ALL))"
+        )
+    joins = " ".join(f"JOIN t_{name} ON {name} IS NOT DISTINCT FROM v_{name}" for name in TEMPERATURES)
+    views.append(f"r0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS weight FROM cells {joins})")
+    steps = [name for _ in range(ROUNDS) for name in TEMPERATURES]
+    for i, name in enumerate(steps):
+        views.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (weight * target_{name}"
+            f" / sum(tokens * weight) OVER (PARTITION BY {name}) AS weight) FROM r{i})"
+        )
+    last = f"r{len(steps)}"
+    same = " AND ".join(f"m.{name} IS NOT DISTINCT FROM c.{name}" for name in TEMPERATURES)
+    return f"""
+WITH {", ".join(views)},
+shares AS (SELECT m.doc_id, m.topic, m.tokens::BIGINT AS tokens,
+                  round(c.weight / (SELECT max(weight) FROM {last}), 9) AS p
+           FROM marked m JOIN {last} c ON {same})
+SELECT doc_id, topic, tokens, round(p, 6) AS probability,
+       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < p
+       AS sampled
+FROM shares"""
+
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op9_mixing": _mixing()}

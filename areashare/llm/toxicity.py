@@ -19,14 +19,18 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 # Words averaged together; a text is as toxic as its worst window.
-WINDOW = 12
+WINDOW = 2
 # Labelled rows fitted on at most, those with the smallest hashes of their ids,
 # and the characters a text may have to be fitted on. Scores have no such bounds.
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 200_000
 # Windows in a fit: all of toxic texts up to half of these, the rest from others.
-SAMPLE_WINDOWS = 60_000
-EPOCHS = 40
+SAMPLE_WINDOWS = 100_000
+EPOCHS = 25
+DECAY = 1e-7
+# Fits in a row, and the worst windows of a toxic text that the next one takes.
+ROUNDS = 3
+WORST = (8, 4)
 # Words kept per worker; past that the table starts again.
 KEPT_WORDS = 300_000
 
@@ -64,14 +68,20 @@ class Model:
                 kept[word] = float(self.weight[grams_of(word)].mean())
         return np.fromiter(map(kept.__getitem__, words), np.float64, len(words))
 
+    def ranked(self, words: list[str], kept: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Where a text's windows begin and their logits without the bias, the greatest first."""
+        begins = windows(len(words))
+        if not words:
+            return begins, np.empty(0)
+        sums = np.add.reduceat(self.word_logits(words, kept), begins)
+        logits = sums / np.diff(begins, append=len(words))
+        order = np.argsort(-logits, kind="stable")
+        return begins[order], logits[order]
+
     def worst(self, words: list[str], kept: dict[str, float]) -> float:
         """The greatest logit of a text's windows; a text without words has the bias alone."""
-        if not words:
-            return self.bias
-        logits = self.word_logits(words, kept)
-        begins = windows(len(words))
-        sums = np.add.reduceat(logits, begins)
-        return float((sums / np.diff(begins, append=len(words))).max()) + self.bias
+        _, logits = self.ranked(words, kept)
+        return self.bias + (float(logits[0]) if len(logits) else 0.0)
 
     def score(self, words: list[str], kept: dict[str, float]) -> float:
         z = self.slope * self.worst(words, kept) + self.shift
@@ -94,24 +104,12 @@ class _Adam:
         value -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
-    """Embeddings and softmax from windows that carry their text's label, then slope and shift
-    from whole texts."""
-    rng = np.random.default_rng(seed)
-    split = [words_of(text) for text in texts]
-    if len(set(toxic.tolist())) < 2:
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if share > 0.5 else -30.0)
-    places = {0: [], 1: []}
-    for doc, words in enumerate(split):
-        places[int(toxic[doc])] += [(doc, int(i)) for i in windows(len(words))]
-    bags, labels = [], []
-    for label, found in places.items():
-        order = rng.permutation(len(found))[: SAMPLE_WINDOWS // 2]
-        bags += [split[found[i][0]][found[i][1] : found[i][1] + WINDOW] for i in order]
-        labels += [label] * len(order)
-    y = np.array(labels, np.float64)
+def _bags(split: list[list[str]], places: list[tuple[int, int]]) -> list[list[str]]:
+    return [split[doc][at : at + WINDOW] for doc, at in places]
+
 
+def _softmax_fit(bags: list[list[str]], y: np.ndarray, rng: np.random.Generator) -> Model:
+    """Embeddings and linear softmax, trained jointly on labelled windows."""
     # Every word once: its n-grams, and the words of each window.
     number: dict[str, int] = {}
     of_window = np.array([number.setdefault(w, len(number)) for bag in bags for w in bag])
@@ -123,6 +121,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     gram_at = np.cumsum(n_grams) - n_grams
     word_of = np.repeat(np.arange(len(grams)), n_grams)
     in_window = np.repeat(np.arange(len(bags)), n_words)
+    # Both classes weigh the same.
+    share_1 = y.mean()
+    weight = np.where(y == 1, 0.5 / share_1, 0.5 / (1 - share_1)) / len(y)
 
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     head = rng.normal(0, 0.1, (DIMENSIONS, 2))
@@ -136,7 +137,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
         logit = mean @ head + bias
         share = np.exp(logit - logit.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
-        error = (share - target) / len(y)
+        error = (share - target) * weight[:, None]
         to_mean = error @ head.T / n_words[:, None]
         to_embedding = np.empty_like(embedding)
         for d in range(DIMENSIONS):
@@ -144,12 +145,43 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
             to_embedding[:, d] = np.bincount(gram, to_word[word_of], BUCKETS)
         adam.update("head", head, mean.T @ error)
         adam.update("bias", bias, error.sum(axis=0))
-        adam.update("embedding", embedding, to_embedding)
-    weight = embedding @ (head[:, 1] - head[:, 0])
-    model = Model(weight, float(bias[1] - bias[0]))
+        adam.update("embedding", embedding, to_embedding + DECAY * embedding)
+    return Model(embedding @ (head[:, 1] - head[:, 0]), float(bias[1] - bias[0]))
+
+
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
+    """A model of windows, then slope and shift of whole texts.
+
+    Only texts are labelled. At first windows carry their text's label; from then on a toxic text is held to
+    be toxic for its worst windows alone, and other texts for none, their worst included.
+    """
+    rng = np.random.default_rng(seed)
+    same: dict[str, str] = {}  # one string per word
+    split = [[same.setdefault(word, word) for word in words_of(text)] for text in texts]
+    if len(set(toxic.tolist())) < 2:
+        share = float(toxic.mean()) if len(toxic) else 0.0
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if share > 0.5 else -30.0)
+    places = {label: [] for label in (0, 1)}
+    for doc, words in enumerate(split):
+        places[int(toxic[doc])] += [(doc, int(i)) for i in windows(len(words))]
+    half = SAMPLE_WINDOWS // 2
+    drawn = {
+        label: [found[i] for i in rng.permutation(len(found))[:half]] for label, found in places.items()
+    }
+    clean, chosen = drawn[0], drawn[1]
+    for round_ in range(ROUNDS):
+        bags = _bags(split, clean + chosen)
+        y = np.repeat([0.0, 1.0], [len(clean), len(chosen)])
+        model = _softmax_fit(bags, y, rng)
+        kept: dict[str, float] = {}
+        ranked = [model.ranked(words, kept) for words in split]
+        if round_ + 1 < ROUNDS:
+            n = WORST[round_]
+            chosen = [(d, at) for d in np.flatnonzero(toxic == 1) for at in ranked[d][0][:n]]
+            hard = [(d, at) for d in np.flatnonzero(toxic == 0) for at in ranked[d][0][:1]]
+            clean = drawn[0] + hard
+    worst = np.array([logits[0] if len(logits) else 0.0 for _, logits in ranked]) + model.bias
 
-    kept: dict[str, float] = {}
-    worst = np.array([model.worst(words, kept) for words in split])
     scale = worst.std() or 1.0
     x = np.column_stack([(worst - worst.mean()) / scale, np.ones(len(worst))])
     line = np.zeros(2)
