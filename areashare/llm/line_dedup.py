@@ -22,7 +22,7 @@ def _ends(hashes: Column, divisor: int) -> Column:
         hashes,
         lambda h, i: sum(
             (
-                F.when(i >= back, F.get(hashes, i - back)).otherwise(0) * factor
+                F.when(i >= back, F.pmod(F.get(hashes, i - back), F.lit(PRIME))).otherwise(0) * factor
                 for back, factor in enumerate(WINDOW)
             ),
             start=F.lit(0).cast("bigint"),
@@ -74,7 +74,7 @@ def _units(docs: DataFrame, divisor: int, passage_words: int) -> DataFrame:
         # A text without a word has white space, not passages.
         docs.where(F.col("text").rlike(WORD))
         .select("doc_id", F.xxhash64("text").alias("text_key"), _lines(F.col("text")).alias("lines"))
-        .withColumn("hashes", F.transform("lines", lambda line: F.pmod(F.xxhash64(line), F.lit(PRIME))))
+        .withColumn("hashes", F.transform("lines", lambda line: F.xxhash64(line)))
         .withColumn("ends", _ends(F.col("hashes"), divisor))
         .select("doc_id", "text_key", F.explode(F.concat(chunks, long_lines)).alias("unit"))
         .select("doc_id", "text_key", "unit.*")
