@@ -79,7 +79,10 @@ def links(distinct: DataFrame) -> DataFrame:
     many copies there are; each is tied to the smallest of them after its full distance is
     checked.
     """
-    keys = distinct.select("bits", F.explode(_segment_balls(F.col("bits"))).alias("key"))
+    # Each row becomes 65: few files of fingerprints are much work.
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(n, "bits")
+    keys = spread.select("bits", F.explode(_segment_balls(F.col("bits"))).alias("key"))
     matches = keys.groupBy("key").agg(F.collect_set("bits").alias("found")).where(F.size("found") > 1)
     tied = matches.select(F.explode("found").alias("u"), F.array_min("found").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE
