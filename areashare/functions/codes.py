@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-import os.path
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Beyond this many codes a chain of OR-ed comparisons costs more per row than
-# one hash lookup.
-MAX_OR_TERMS = 32
-
 
 def code_prefix(code: Column, length: int) -> Column:
     """The first ``length`` characters of a code."""
@@ -53,12 +46,9 @@ class CodeSet:
     def matches(self, code: Column) -> Column:
         """``substring(code, 1, length) IN codes`` in a form Parquet can prune on.
 
-        A function around the column hides it from the scan; ``startswith`` is
-        pushed. A long list keeps one pushed term, its common prefix, and
-        decides with a hash lookup.
+        A function around the column hides it from the scan. The range of the codes, in terms of
+        the bare column, is pushed for any number of them; a hash lookup decides.
         """
-        if len(self.codes) <= MAX_OR_TERMS:
-            return functools.reduce(operator.or_, [code.startswith(c) for c in self.codes])
-        listed = code_prefix(code, self.length).isin(*self.codes)
-        shared = os.path.commonprefix(self.codes)
-        return code.startswith(shared) & listed if shared else listed
+        lowest, highest = min(self.codes), max(self.codes)
+        in_range = (code >= lowest) & ((code < highest) | code.startswith(highest))
+        return in_range & code_prefix(code, self.length).isin(*self.codes)

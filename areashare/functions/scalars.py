@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+GRAINS = ("day", "week", "month", "quarter", "year")
+
+
 def period_date(moment: Column, grain: str = "month") -> Column:
     """The date of a timestamp, taken back to the first day of its ``grain``."""
+    if grain not in GRAINS:  # Spark would answer NULL
+        raise ValueError(f"unknown grain {grain}, not one of {', '.join(GRAINS)}")
     if grain == "day":
         return F.to_date(moment)
     return F.trunc(moment, grain)

@@ -3,7 +3,7 @@ import math
 import random
 
 import pytest
-from helpers import rows
+from helpers import plan, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -142,3 +142,20 @@ def test_scale_clamp(spark):
 def test_missing_to_null(spark):
     df = spark.createDataFrame([(NAN,), (None,), (1.0,), (INF,)], "v double")
     assert rows(df.select(missing_to_null(F.col("v")))) == [(None,), (None,), (1.0,), (INF,)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 33, 2000])
+def test_code_sets_of_any_length_are_pushed(spark, tmp_path, n):
+    codes = [f"{chr(ord('A') + i % 25)}{i:04d}" for i in range(n)]
+    data = [None, "", "A", "A0000", "A0000x", "é0000", "Z9999", "A000\u00e9", *(c + "tail" for c in codes[::7])]
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(d,) for d in data], "code string").write.parquet(path)
+    df = spark.read.parquet(path)
+    chosen = df.where(CodeSet.of(*codes).matches(F.col("code")))
+    assert "GreaterThanOrEqual(code," in plan(chosen)
+    assert rows(chosen) == rows(df.where(F.substring("code", 1, 5).isin(codes)))
+
+
+def test_unknown_grain(spark):
+    with pytest.raises(ValueError, match="monthly"):
+        period_date(F.col("month"), "monthly")
