@@ -4,30 +4,36 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from areashare.sources.text import read_text_table, write_text_table
+from areashare.sources.text import read_own_text, read_text_table, write_text_table
 
 # Part of every fingerprint. Raise it when code changes what a description means.
-VERSION = "1"
+VERSION = "2"
 
 
-def _located(spark: SparkSession, path: str):
-    """A path and the file system it is on, wherever the cluster keeps its data."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+# What a finished build is known by. Readers of the data pass over such names.
+MANIFEST = "_manifest"
 
 
 def path_state(spark: SparkSession, path: str) -> str:
-    """Path, change time, size and file count: differs once the files change."""
-    location, fs = _located(spark, path)
-    content = fs.getContentSummary(location)
-    changed = fs.getFileStatus(location).getModificationTime()
-    return f"{path} {changed} {content.getLength()} {content.getFileCount()}"
+    """Path, and number, size and a digest of the files below: name, time and length of each."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("length", F.xxhash64("path", "modificationTime", "length").alias("file"))
+    )
+    row = files.agg(F.count("*"), F.sum("length"), F.expr("bit_xor(file)")).first()
+    return f"{path} {' '.join(map(str, row))}"
 
 
 def fingerprint(spark: SparkSession, spec: str, inputs: Sequence[str] = ()) -> str:
@@ -40,9 +46,9 @@ def fingerprint(spark: SparkSession, spec: str, inputs: Sequence[str] = ()) -> s
 class ResultCache:
     """Results under one folder, each in ``<fingerprint>-<build>``.
 
-    Every build gets a folder of its own and counts only once its write was
-    committed, which Spark marks with ``_SUCCESS``. A build that dies half way is
-    never read, and a refresh leaves readers of the older data alone.
+    Every build gets a folder of its own and counts only once its manifest is written, after the
+    data. The manifest holds the schema, so that a kept result can be read without its source. A
+    build that dies half way is never read, and a refresh leaves readers of the older data alone.
     """
 
     path: str
@@ -52,14 +58,31 @@ class ResultCache:
         if self.format not in ("parquet", "csv"):
             raise ValueError(f"unknown cache format {self.format}")
 
-    def newest(self, spark: SparkSession, key: str) -> str | None:
-        """Folder of the last committed build with this fingerprint."""
-        pattern, fs = _located(spark, f"{self.path}/{key}-*/_SUCCESS")
-        marks = fs.globStatus(pattern) or []
-        if not len(marks):
+    def newest(self, spark: SparkSession, key: str) -> dict | None:
+        """Manifest of the last finished build with this fingerprint."""
+        try:
+            found = spark.read.text(f"{self.path}/{key}-*/{MANIFEST}").collect()
+        except AnalysisException:  # no such path: no build
             return None
-        last = max(marks, key=lambda mark: mark.getModificationTime())
-        return last.getPath().getParent().toString()
+        builds = [json.loads(row.value) for row in found]
+        return max(builds, key=lambda build: build["built"], default=None)
+
+    def _keep(self, spark: SparkSession, key: str, spec: str, df: DataFrame) -> dict:
+        folder = f"{self.path}/{key}-{uuid.uuid4().hex}"
+        if self.format == "parquet":
+            df.write.parquet(folder)
+        else:
+            write_text_table(df, folder)
+        manifest = {"folder": folder, "spec": spec, "built": time.time(), "schema": df.schema.json()}
+        line = spark.createDataFrame([(json.dumps(manifest),)], "value string")
+        line.coalesce(1).write.text(f"{folder}/{MANIFEST}")
+        return manifest
+
+    def _read(self, spark: SparkSession, manifest: dict) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+        if self.format == "parquet":
+            return spark.read.schema(schema).parquet(manifest["folder"])
+        return read_own_text(spark, manifest["folder"], schema)
 
     def get(
         self,
@@ -75,20 +98,15 @@ class ResultCache:
         change of the files count as a change of the description.
         """
         key = fingerprint(spark, spec, inputs)
-        folder = None if refresh else self.newest(spark, key)
-        if self.format == "parquet":
-            if folder is None:
-                folder = f"{self.path}/{key}-{uuid.uuid4().hex}"
-                df = build()
-                df.write.parquet(folder)
-                return spark.read.schema(df.schema).parquet(folder)
-            return spark.read.parquet(folder)
-        # Text carries no types: they come from the query, which does not run.
-        df = build()
-        if folder is None:
-            folder = f"{self.path}/{key}-{uuid.uuid4().hex}"
-            write_text_table(df, folder)
-        return read_text_table(spark, folder, df.schema)
+        manifest = None if refresh else self.newest(spark, key)
+        return self._read(spark, manifest or self._keep(spark, key, spec, build()))
+
+    def adopt(
+        self, spark: SparkSession, spec: str, source: str, schema: T.StructType, inputs: Sequence[str] = ()
+    ) -> DataFrame:
+        """Take a delimited text of others, say a made-up one, as the kept result for ``spec``."""
+        key = fingerprint(spark, spec, inputs)
+        return self._read(spark, self._keep(spark, key, spec, read_text_table(spark, source, schema)))
 
 
 def cached_read(

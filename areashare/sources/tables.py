@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +46,8 @@ def read_table(
     """The columns of ``schema`` from a Parquet, text or catalog source.
 
     ``renames`` maps a column of the schema to its name in a Parquet or catalog
-    source. Text is read with the declared types; the others keep the types they
-    carry, so that filters still reach the scan.
+    source. Text is read with the declared types. The others must carry these types, or
+    narrower ones that are widened without loss; any other type is an error.
     """
     if format == "csv":
         return read_text_table(spark, source, schema)
@@ -55,7 +55,27 @@ def read_table(
         raise ValueError(f"unknown source format {format}")
     df = spark.table(source) if format == "table" else spark.read.parquet(source)
     renames = renames or {}
-    return df.select(*[F.col(renames.get(n, n)).alias(n) for n in schema.names])
+    return df.select(*[_typed(df, renames.get(f.name, f.name), f) for f in schema])
+
+
+# Types that go into a wider one without loss.
+WIDER = {
+    "bigint": ("int", "smallint", "tinyint"),
+    "double": ("float", "int", "smallint", "tinyint"),
+    "timestamp_ntz": ("date",),
+    "timestamp": ("date", "timestamp_ntz"),
+}
+# Read as they are: a period may be a date or either kind of timestamp.
+MOMENTS = ("date", "timestamp", "timestamp_ntz")
+
+
+def _typed(df: DataFrame, name: str, field: T.StructField) -> Column:
+    found, wanted = df.schema[name].dataType.simpleString(), field.dataType.simpleString()
+    if found == wanted or (found in MOMENTS and wanted in MOMENTS):
+        return F.col(name).alias(field.name)
+    if found not in WIDER.get(wanted, ()):
+        raise ValueError(f"column {name} is {found}, not {wanted}")
+    return F.col(name).cast(field.dataType).alias(field.name)
 
 
 def read_prescribing(spark: SparkSession, source: str, **how) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Tables as delimited text that survive the round trip."""
+"""Tables as delimited text: own files that keep every row and value, and files of others."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Codes such as '0E1' or ' 12' must come back as the text they were, hence no
@@ -13,20 +14,64 @@ TEXT_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-# Nothing stands for NULL and "" for empty text. The reader takes what it calls
-# null value for NULL wherever it came from, so it must be no value of the data.
-WRITE_OPTIONS = TEXT_OPTIONS | {"nullValue": "", "emptyValue": '""'}
+# In own files a mark stands for NULL, which no value can be: its backslash would be doubled.
+NULL_MARK = "\\N"
+# Quotes keep a line of a lone blank from looking empty.
+OWN_OPTIONS = TEXT_OPTIONS | {"nullValue": NULL_MARK, "emptyValue": '""', "quoteAll": "true"}
+# In files of others nothing stands for NULL and "" for empty text. The reader takes what it
+# calls null value for NULL wherever it came from, so it must be no value of the data.
 READ_OPTIONS = TEXT_OPTIONS | {"nullValue": "\u0000", "emptyValue": ""}
+NTZ_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _kept(value: Column, kind: T.DataType) -> Column:
+    """A value as text on one line that gives the value back."""
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            value = F.replace(value, F.lit(raw), F.lit(escaped))
+        return value
+    if isinstance(kind, T.TimestampType):  # the same moment in any time zone
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.date_format(value, NTZ_FORMAT)
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType)):
+        return value.cast("string")
+    raise ValueError(f"text cannot keep values of type {kind.simpleString()}")
+
+
+def _given_back(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        # Doubled backslashes apart, a backslash begins a line break.
+        parts = F.transform(
+            F.split(text, r"\\\\", -1),
+            lambda p: F.replace(
+                F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")
+            ),
+        )
+        return F.array_join(parts, "\\")
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(text.cast("bigint"))
+    return text.cast(kind)
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
+    """Write every row on a line of its own, so that files can be split between tasks."""
+    columns = [_kept(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
+    df.select(*columns).write.mode(mode).options(**OWN_OPTIONS).csv(path)
+
+
+def read_own_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that ``write_text_table`` wrote: the same rows, values and types."""
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+    options = OWN_OPTIONS | {"emptyValue": "", "mode": "FAILFAST", "enforceSchema": "false"}
+    rows = spark.read.schema(texts).options(**options).csv(path)
+    return rows.select(*[_given_back(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema])
 
 
 def read_text_table(
     spark: SparkSession, path: str, schema: T.StructType | str, *, multiline: bool = False
 ) -> DataFrame:
-    """Text read with the declared types; a value that does not fit is an error.
+    """Text of others read with the declared types; a value that does not fit is an error.
 
     ``multiline`` allows line breaks inside quoted values, at the price of files
     that cannot be split between tasks.

@@ -12,6 +12,7 @@ from areashare.sources import (
     cached_read,
     fingerprint,
     read_areas,
+    read_own_text,
     read_prescribing,
     read_text_table,
     scratch_table,
@@ -72,9 +73,45 @@ def test_unfinished_build_is_not_read(spark, tmp_path):
     (folder,) = os.listdir(tmp_path / "c")
     os.remove(tmp_path / "c" / folder / "_SUCCESS")
     cache.get(spark, "spec", build)
+    assert build.runs == 1
+    for name in os.listdir(tmp_path / "c" / folder / "_manifest"):
+        os.remove(tmp_path / "c" / folder / "_manifest" / name)
+    cache.get(spark, "spec", build)
     assert build.runs == 2
 
 
+def test_equal_length_replacement_in_a_nested_folder_rebuilds(spark, tmp_path):
+    source = tmp_path / "source"
+    (source / "part=1").mkdir(parents=True)
+    (source / "part=1" / "a.txt").write_text("77")
+    cache = ResultCache(str(tmp_path / "c"))
+
+    def get():
+        return cache.get(spark, "spec", lambda: spark.read.text(str(source)), inputs=[str(source)])
+
+    assert rows(get().select("value")) == [("77",)]
+    (source / "part=1" / "a.txt").write_text("99")
+    os.utime(source / "part=1" / "a.txt", (2_000_000_000, 2_000_000_000))
+    assert rows(get().select("value")) == [("99",)]
+
+
+def test_a_kept_text_needs_no_source(spark, tmp_path):
+    spark.sql("SELECT 1 AS n, timestamp'2012-01-01 00:00:00.123456' AS t").createOrReplaceTempView("gone")
+    path = str(tmp_path / "c")
+    first = rows(cached_read(spark, "SELECT * FROM gone", path, format="csv"))
+    spark.catalog.dropTempView("gone")
+    again = cached_read(spark, "SELECT * FROM gone", path, format="csv")
+    assert rows(again) == first and again.dtypes == [("n", "int"), ("t", "timestamp")]
+
+
+def test_a_supplied_text_becomes_the_kept_result(spark, tmp_path, measure):
+    (tmp_path / "made_up.csv").write_text("month,pct,doacs,perc_doacs\n2012-01-01,0E1,3,50.0\n")
+    cache = ResultCache(str(tmp_path / "c"), "csv")
+    cache.adopt(spark, "spec", str(tmp_path / "made_up.csv"), MEASURE_SCHEMA)
+    found = cache.get(spark, "spec", lambda: pytest.fail("built"))
+    assert rows(found) == [(DAY, "0E1", 3, 50.0)]
+
+
 def test_failed_build_leaves_nothing_to_read(spark, tmp_path):
     cache = ResultCache(str(tmp_path / "c"))
     with pytest.raises(PySparkException):
@@ -106,11 +143,40 @@ def test_text_round_trip_keeps_every_value(spark, tmp_path):
     df = spark.createDataFrame([*data, (None, "x", None, None)], MEASURE_SCHEMA)
     path = str(tmp_path / "t")
     write_text_table(df, path)
-    back = read_text_table(spark, path, MEASURE_SCHEMA)
+    back = read_own_text(spark, path, MEASURE_SCHEMA)
     assert back.dtypes == df.dtypes
     assert rows(back) == rows(df)
 
 
+ODD = ["a", None, "", "one\ntwo", "\r\n", "\\n", "\\", "\\\\n", "\\N", "\x00", "\u0000a", '"', "a,b", " ", "\t", "\u00a0"]
+
+
+@pytest.mark.parametrize("columns", [1, 2])
+def test_own_text_keeps_rows_and_line_breaks(spark, tmp_path, columns):
+    schema = "s string" if columns == 1 else "s string, t string"
+    df = spark.createDataFrame([(text, text)[:columns] for text in ODD], schema)
+    write_text_table(df, str(tmp_path / "t"))
+    assert rows(read_own_text(spark, str(tmp_path / "t"), df.schema)) == rows(df)
+    kept = ResultCache(str(tmp_path / "c"), "csv")
+    for _ in range(2):
+        assert rows(kept.get(spark, "spec", lambda: df)) == rows(df)
+
+
+def test_own_text_keeps_moments(spark, tmp_path):
+    df = spark.sql(
+        "SELECT timestamp'2012-01-01 00:00:00.123456' AS t, timestamp_ntz'2012-01-01 00:00:00.123456' AS u,"
+        " 12.50BD AS d, true AS b, float('nan') AS f"
+    )
+    write_text_table(df, str(tmp_path / "t"))
+    back = read_own_text(spark, str(tmp_path / "t"), df.schema)
+    assert back.dtypes == df.dtypes and rows(back) == rows(df)
+
+
+def test_own_text_refuses_nested_values(spark, tmp_path):
+    with pytest.raises(ValueError, match="array"):
+        write_text_table(spark.sql("SELECT array(1) AS a"), str(tmp_path / "t"))
+
+
 def test_text_that_does_not_fit_is_an_error(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("not a day", "A")], "month string, pct string").write.csv(path, header=True)
@@ -126,16 +192,15 @@ def test_text_with_other_columns_is_an_error(spark, tmp_path):
 
 
 def test_line_breaks_in_text(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = spark.createDataFrame([("one\ntwo", 1), ("three", 2)], "s string, n int")
-    write_text_table(df, path)
-    assert rows(read_text_table(spark, path, df.schema, multiline=True)) == rows(df)
+    (tmp_path / "t.csv").write_text('s,n\n"one\ntwo",1\nthree,2\n')
+    found = read_text_table(spark, str(tmp_path / "t.csv"), "s string, n int", multiline=True)
+    assert rows(found) == [("one\ntwo", 1), ("three", 2)]
 
 
 def test_read_sources(spark, tmp_path, rx, areas):
     facts, dims = str(tmp_path / "rx"), str(tmp_path / "areas")
     rx.withColumnRenamed("month", "processing_date").write.parquet(facts)
-    write_text_table(areas, dims)
+    areas.write.csv(dims, header=True)
     found = read_prescribing(spark, facts, renames={"month": "processing_date"})
     assert rows(found) == rows(rx)
     assert rows(read_areas(spark, dims, format="csv")) == rows(areas)
@@ -144,6 +209,11 @@ def test_read_sources(spark, tmp_path, rx, areas):
     assert read_areas(spark, dims, format="csv").schema == AREA_SCHEMA
     with pytest.raises(ValueError):
         read_areas(spark, dims, format="orc")
+    rx.withColumn("items", rx.items.cast("int")).write.parquet(facts + "-narrow")
+    assert read_prescribing(spark, facts + "-narrow").schema["items"].dataType.simpleString() == "bigint"
+    rx.withColumn("items", rx.items.cast("double")).write.parquet(facts + "-wide")
+    with pytest.raises(ValueError, match="items is double"):
+        read_prescribing(spark, facts + "-wide")
 
 
 def test_scratch_table_is_in_the_shared_folder(spark):
