@@ -25,7 +25,7 @@ SLICE_ROWS = 65_536
 # between the value at the whole part and the next one, by the remainder. A slice
 # knows how many values of its period come before it, hence which of the wanted
 # positions it holds, and only slices that hold one are ranked.
-RANK_SQL = """
+TARGETS_SQL = """
 WITH spans AS (
   SELECT p, slice, rows,
          sum(rows) OVER (PARTITION BY p ORDER BY slice) - rows AS before,
@@ -42,16 +42,22 @@ targets AS (
   FROM (SELECT *, explode(array_distinct(array(whole, whole + if(part > 0, 1, 0)))) AS rank
         FROM positions)
   WHERE rank >= before AND rank < before + rows
-),
-ranked AS (
+)
+SELECT * FROM targets
+"""
+
+# Only slices that hold a target are shuffled: the targets are written first, so that their
+# size, some slices per period, is known to the planner.
+RANK_SQL = """
+WITH ranked AS (
   SELECT p, slice, v, n, sum(n) OVER w AS upto
-  FROM {sliced} LEFT SEMI JOIN targets USING (p, slice)
+  FROM {sliced} LEFT SEMI JOIN {targets} USING (p, slice)
   WINDOW w AS (PARTITION BY p, slice ORDER BY v ROWS UNBOUNDED PRECEDING)
 )
 SELECT p, point, CASE WHEN low = high THEN low ELSE low + (high - low) * (part / 100) END AS v
 FROM (
   SELECT p, point, min(v) AS low, max(v) AS high, max(part) AS part
-  FROM ranked JOIN targets USING (p, slice)
+  FROM ranked JOIN {targets} USING (p, slice)
   WHERE rank < upto AND rank >= upto - n
   GROUP BY p, point
 )
@@ -63,21 +69,15 @@ def percentile_bands(
     period: str = "month",
     value: str = "perc_doacs",
     points: Sequence[int] = ALL_BANDS,
-    method: str = "exact",
     slice_rows: int = SLICE_ROWS,
-    accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per period and percentile: (period, percentile, value).
 
     Missing values and rows without a period do not count. Between two ranks the
     value is interpolated linearly.
 
-    ``exact`` sorts the distinct values over all tasks, cuts them into slices and
-    looks the ranks up, so no task holds a whole period; the slices are written to
-    the shared folder.
-    ``grouped`` gives the same from Spark's own percentile, which keeps a period's
-    distinct values in one buffer: for areas by the thousand. ``approx`` is the
-    sketch, with its error set by ``accuracy``.
+    The distinct values are sorted over all tasks, cut into slices and written to the shared
+    folder; ranks are looked up there, so no task holds a whole period.
     """
     points = sorted(set(points))
     if not points or not all(isinstance(p, int) and 0 <= p <= 100 for p in points):
@@ -88,29 +88,12 @@ def percentile_bands(
     # A value that many areas share travels as one row with a count.
     cells = present.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"))
     listed = ", ".join(f"{p}L" for p in points)
-    shares = ", ".join(f"{p / 100}D" for p in points)
-    if method == "exact":
-        found = _by_rank(cells, listed, slice_rows)
-    elif method == "grouped":
-        found = _unpacked(cells, listed, f"percentile(v, array({shares}), n)")
-    elif method == "approx":
-        found = _unpacked(present, listed, f"percentile_approx(v, array({shares}), {accuracy})")
-    else:
-        raise ValueError(f"unknown method {method}")
+    found = _by_rank(cells, listed, slice_rows)
     return found.select(
         F.col("p").alias(period), F.col("point").cast("int").alias("percentile"), F.col("v").alias(value)
     )
 
 
-def _unpacked(df: DataFrame, listed: str, values: str) -> DataFrame:
-    """One row per element of an array-valued aggregate."""
-    return (
-        df.groupBy("p")
-        .agg(F.expr(values).alias("vs"))
-        .selectExpr("p", f"inline(arrays_zip(array({listed}), vs)) AS (point, v)")
-    )
-
-
 def _by_rank(cells: DataFrame, listed: str, slice_rows: int) -> DataFrame:
     # The id counts up within a partition and from one to the next, like the sort.
     numbered = (
@@ -121,4 +104,6 @@ def _by_rank(cells: DataFrame, listed: str, slice_rows: int) -> DataFrame:
     # The range bounds come from a sample and differ from run to run. Written
     # down, the slices are the same for every read.
     sliced = scratch_table(numbered, "ranks")
-    return cells.sparkSession.sql(RANK_SQL.replace("POINTS", listed), sliced=sliced)
+    spark = cells.sparkSession
+    targets = spark.sql(TARGETS_SQL.replace("POINTS", listed), sliced=sliced)
+    return spark.sql(RANK_SQL, sliced=sliced, targets=scratch_table(targets, "targets"))

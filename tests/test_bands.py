@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from helpers import plan
+from pyspark.sql import functions as F
 
 from areashare.operators import ALL_BANDS, DECILES, OUTER, percentile_bands
 
@@ -29,9 +30,17 @@ def test_point_sets():
     assert len(OUTER) == 18 and len(ALL_BANDS) == 27
 
 
-@pytest.mark.parametrize("method", ["exact", "grouped"])
-def test_hand_fixture(measure, method):
-    found = by_key(percentile_bands(measure, method=method))
+def grouped(df, points=ALL_BANDS):
+    """The same by Spark's own percentile, which holds a period in one buffer."""
+    shares = ", ".join(f"{p / 100}D" for p in points)
+    listed = ", ".join(map(str, points))
+    values = df.where("month IS NOT NULL AND NOT isnan(perc_doacs)").groupBy("month")
+    arrays = values.agg(F.expr(f"percentile(perc_doacs, array({shares}))").alias("vs"))
+    return arrays.selectExpr("month", f"inline(arrays_zip(array({listed}), vs)) AS (percentile, perc_doacs)")
+
+
+def test_hand_fixture(measure):
+    found = by_key(percentile_bands(measure))
     assert len(found) == 2 * 27
     for p, expected in ((1, 0.3), (10, 3), (50, 15), (90, 27), (99, 29.7)):
         assert found[(JAN, p)] == pytest.approx(expected, abs=1e-12)
@@ -74,10 +83,7 @@ def test_against_brute_force(spark, many_partitions, slice_rows, n):
 def test_methods_agree(spark, many_partitions):
     df = spark.createDataFrame(skewed(3000, seed=5), SCHEMA)
     exact = by_key(percentile_bands(df, slice_rows=9))
-    grouped = by_key(percentile_bands(df, method="grouped"))
-    assert exact == pytest.approx(grouped, rel=1e-12)
-    approx = by_key(percentile_bands(df, method="approx"))
-    assert approx.keys() == exact.keys()
+    assert exact == pytest.approx(by_key(grouped(df)), rel=1e-12)
 
 
 def test_bands_never_fall(spark):
@@ -109,9 +115,10 @@ def test_bad_points(spark, points):
         percentile_bands(spark.createDataFrame([(JAN, 1.0)], SCHEMA), points=points)
 
 
-def test_bad_method(spark):
-    with pytest.raises(ValueError):
-        percentile_bands(spark.createDataFrame([(JAN, 1.0)], SCHEMA), method="guess")
+def test_slices_are_cut_down_before_they_are_shuffled(spark):
+    df = percentile_bands(spark.createDataFrame(skewed(3000, seed=9), SCHEMA), slice_rows=7)
+    before, _, _ = plan(df).partition("Subqueries")
+    assert "BroadcastHashJoin LeftSemi" in before and "SortMergeJoin LeftSemi" not in before
 
 
 def test_nothing_is_ranked_in_one_task(spark):
