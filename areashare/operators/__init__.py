@@ -5,6 +5,7 @@ from areashare.operators.snapshot import (
     RUN_RULES,
     TextRule,
     assert_snapshot,
+    compare_texts,
     load_rules,
     sanitise,
     sanitise_text,
@@ -31,6 +32,7 @@ __all__ = [
     "TextRule",
     "area_layer",
     "assert_snapshot",
+    "compare_texts",
     "duplicate_keys",
     "latest_label",
     "latest_period",

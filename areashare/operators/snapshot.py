@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,32 +104,49 @@ def snapshot_diff(
     ignore_columns: Sequence[str] = (),
     ignore_where: Column | str | None = None,
 ) -> DataFrame:
-    """One row per key that differs: its ``status`` and the values on both sides.
+    """Every row that one side has over the other: its key's ``status`` and the values.
 
-    ``missing`` is only in ``saved``, ``unexpected`` only in ``current``,
-    ``changed`` in both with other values. Only rows that differ are grouped by
-    key, so the second shuffle is as small as the difference. A key that repeats
-    is compared as a bag of rows; ``saved_rows`` and ``current_rows`` count what
-    one side has over the other, and the values shown are of the largest such row.
+    ``missing`` keys are only in ``saved``, ``unexpected`` ones only in ``current``, ``changed`` ones
+    in both. The rows of a key that are left over on either side stand next to each other in order of
+    their values; ``saved_rows`` and ``current_rows`` count how often they are left over. So a
+    key that does not repeat gives one row. Only rows that differ are grouped by key, and only
+    their keys are looked up for rows that do not.
     """
-    unmatched = snapshot_except_all(
-        current, saved, ignore_columns=ignore_columns, ignore_where=ignore_where
-    )
+    skipped = {"ignore_columns": ignore_columns, "ignore_where": ignore_where}
+    unmatched = snapshot_except_all(current, saved, **skipped)
     values = [c for c in unmatched.columns if c not in {*keys, "saved_rows", "current_rows"}]
     over = F.col("saved_rows") - F.col("current_rows")
     row = F.struct(*values) if values else F.struct(F.lit(None).alias("__none"))
-    per_key = unmatched.groupBy(*keys).agg(
-        F.sum(F.greatest(over, F.lit(0))).alias("saved_rows"),
-        F.sum(F.greatest(-over, F.lit(0))).alias("current_rows"),
-        F.max(F.when(over > 0, row)).alias("__saved"),
-        F.max(F.when(over < 0, row)).alias("__current"),
+    sides = unmatched.select(*keys, row.alias("__row"), over.alias("__over")).withColumn(
+        "__nth",
+        F.row_number().over(Window.partitionBy(*keys, F.col("__over") > 0).orderBy("__row")),
+    )
+    left, right = F.col("__over") > 0, F.col("__over") < 0
+    paired = sides.groupBy(*keys, "__nth").agg(
+        F.sum(F.greatest("__over", F.lit(0))).alias("saved_rows"),
+        F.sum(F.greatest(-F.col("__over"), F.lit(0))).alias("current_rows"),
+        F.max(F.when(left, F.col("__row"))).alias("__saved"),
+        F.max(F.when(right, F.col("__row"))).alias("__current"),
+    )
+    found = unmatched.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    present = None
+    for side, df in (("saved", saved), ("current", current)):
+        held = _compared(df, ignore_columns, ignore_where).select(
+            *keys, F.lit(side == "saved").alias("__in_saved"), F.lit(side == "current").alias("__in_current")
+        )
+        present = held if present is None else present.unionByName(held)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    present = (
+        present.join(found, same, "left_semi")
+        .groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
+        .agg(F.max("__in_saved").alias("__in_saved"), F.max("__in_current").alias("__in_current"))
     )
     status = (
-        F.when(F.col("current_rows") == 0, "missing")
-        .when(F.col("saved_rows") == 0, "unexpected")
+        F.when(~F.col("__in_current"), "missing")
+        .when(~F.col("__in_saved"), "unexpected")
         .otherwise("changed")
     )
-    return per_key.select(
+    return paired.join(present, same).select(
         *keys,
         status.alias("status"),
         "saved_rows",
@@ -139,6 +156,36 @@ def snapshot_diff(
     )
 
 
+# Kinds of output that a regression check leaves out.
+SKIPPED_KINDS = ("application/vnd.plotly.v1+json", "stderr")
+
+
+def compare_texts(
+    current: DataFrame,
+    saved: DataFrame,
+    keys: Sequence[str],
+    *,
+    kind: str = "kind",
+    text: str = "text",
+    skip_kinds: Iterable[str] = SKIPPED_KINDS,
+    skip_where: Column | str | None = None,
+    rules: Iterable[TextRule] = RUN_RULES,
+) -> DataFrame:
+    """The regression check as one job: texts of both sides cleaned of what a run leaves in
+    them, without the kinds and rows to skip, and then compared by key.
+
+    Fails when nothing is left to compare.
+    """
+    rules, skipped = tuple(rules), list(skip_kinds)
+    sides = []
+    for df in (current, saved):
+        kept = _compared(df, (), skip_where).where(~F.coalesce(F.col(kind).isin(skipped), F.lit(False)))
+        sides.append(sanitise_text(kept, text, rules=rules))
+    if all(side.isEmpty() for side in sides):
+        raise ValueError("nothing to compare: both sides are empty")
+    return snapshot_diff(*sides, keys=keys)
+
+
 def assert_snapshot(
     current: DataFrame,
     saved: DataFrame,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from areashare.operators import (
     TextRule,
     assert_snapshot,
+    compare_texts,
     load_rules,
     sanitise_text,
     snapshot_diff,
@@ -78,10 +79,38 @@ def test_repeated_keys_are_bags(spark):
     assert snapshot_diff(left, right, ["k"]).isEmpty()
     fewer = table(spark, ("a", 1.0, "x"), ("a", 2.0, "x"))
     assert rows(snapshot_diff(fewer, left, ["k"]).select("k", "status", "saved_rows", "current_rows")) == [
-        ("a", "missing", 1, 0)
+        ("a", "changed", 1, 0)
     ]
 
 
+def test_every_unmatched_row_of_a_repeated_key(spark):
+    saved = table(spark, ("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 3.0, "x"), ("b", 1.0, "x"))
+    current = table(spark, ("a", 1.0, "x"), ("a", 9.0, "x"), ("c", 1.0, "x"), ("c", 2.0, "x"))
+    found = snapshot_diff(current, saved, ["k"]).drop("saved_note", "current_note")
+    assert rows(found) == rows(
+        spark.createDataFrame(
+            [
+                ("a", "changed", 1, 1, 2.0, 9.0),
+                ("a", "changed", 1, 0, 3.0, None),
+                ("b", "missing", 1, 0, 1.0, None),
+                ("c", "unexpected", 0, 1, None, 1.0),
+                ("c", "unexpected", 0, 1, None, 2.0),
+            ],
+            found.schema,
+        )
+    )
+
+
+def test_texts_are_cleaned_before_they_are_compared(spark):
+    schema = "k int, kind string, text string"
+    saved = [(1, "out", "at 0x7f3a2b1c9d10"), (2, "stderr", "a"), (3, "out", "b"), (4, None, "c")]
+    current = [(1, "out", "at 0x7f3a2b1c9d11"), (2, "stderr", "z"), (3, "out", "y"), (4, None, "c")]
+    sides = [spark.createDataFrame(side, schema) for side in (current, saved)]
+    assert rows(compare_texts(*sides, keys=["k", "kind"]).select("k", "status")) == [(3, "changed")]
+    with pytest.raises(ValueError, match="nothing to compare"):
+        compare_texts(*[side.where("k = 2") for side in sides], keys=["k"])
+
+
 def test_except_all_counts_copies(spark):
     hot = spark.range(3000).selectExpr("'hot' AS k", "1.0D AS v", "'x' AS note")
     left = hot.union(table(spark, ("a", 1.0, "x")))
