@@ -188,4 +188,36 @@ FROM (SELECT *, 1 AS s, 0 AS c FROM (SELECT * FROM sav EXCEPT ALL SELECT * FROM
 GROUP BY month, pct, doacs, perc_doacs""",
         *SNAPSHOTS,
     ),
+    "snapshot_diff_repeated": """
+WITH l AS (SELECT l_orderkey AS k, CAST(l_quantity AS INTEGER) AS v, l_returnflag AS f FROM lineitem),
+sav AS (SELECT k, v FROM l WHERE f <> 'R'),
+cur AS (SELECT k, CASE WHEN f = 'A' THEN v + 100 ELSE v END AS v FROM l WHERE f <> 'N'),
+extra AS (
+  SELECT k, v, 1 AS side, count(*) AS n FROM (SELECT * FROM sav EXCEPT ALL SELECT * FROM cur) GROUP BY ALL
+  UNION ALL
+  SELECT k, v, 2, count(*) FROM (SELECT * FROM cur EXCEPT ALL SELECT * FROM sav) GROUP BY ALL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY k, side ORDER BY v) AS i FROM extra)
+SELECT k,
+       CASE WHEN k NOT IN (SELECT k FROM cur) THEN 'missing'
+            WHEN k NOT IN (SELECT k FROM sav) THEN 'unexpected' ELSE 'changed' END AS status,
+       CAST(coalesce(sum(n) FILTER (side = 1), 0) AS BIGINT) AS saved_rows,
+       CAST(coalesce(sum(n) FILTER (side = 2), 0) AS BIGINT) AS current_rows,
+       max(v) FILTER (side = 1) AS saved_v, max(v) FILTER (side = 2) AS current_v
+FROM nth GROUP BY k, i""",
+    "regression_check": """
+SELECT event_id, 'stdout' AS kind, 'changed' AS status,
+       CAST(1 AS BIGINT) AS saved_rows, CAST(1 AS BIGINT) AS current_rows,
+       'obj at <memory_address> near miss 0x12ab run 1' AS saved_text,
+       'obj at <memory_address> near miss 0x12ab run 2' AS current_text
+FROM events WHERE event_type <> 'click' AND CAST(event_id AS VARCHAR) LIKE '%7'""",
+    "text_round_trip": r"""
+SELECT l_orderkey, l_partkey,
+       CASE l_returnflag WHEN 'N' THEN NULL
+            WHEN 'R' THEN 'one' || chr(10) || 'two\n' || l_linestatus ELSE '\N' END AS odd,
+       l_shipdate + INTERVAL 123456 MICROSECONDS AS moment
+FROM lineitem""",
+    "report_trend": _with("""
+SELECT month, CAST(sum(coalesce(doacs, 0)) AS BIGINT) AS doacs,
+       round(quantile_cont(perc_doacs, 0.5), 6) AS median
+FROM measure GROUP BY month"""),
 }

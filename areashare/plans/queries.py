@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ from areashare.functions.scalars import (
 from areashare.functions.sql import register_sql_functions
 from areashare.operators import bands, snapshot, views
 from areashare.operators.measure import ShareMeasure
+from areashare.plans.report import share_report
 from areashare.sources import staging
 from areashare.sources.cache import ResultCache
 from areashare.sources.storage import shared_folder
+from areashare.sources.text import read_own_text, write_text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -341,4 +344,64 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
     def snapshot_except_all(spark, d):
         return snapshot.snapshot_except_all(*two_snapshots(spark, d))
 
+    @query("snapshot_diff_repeated")
+    def snapshot_diff_repeated(spark, d):
+        # Lines of an order under the order's key; returns are the change.
+        lines = staging.table(spark, d, "lineitem")
+        rows = lines.select(
+            F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("int").alias("v"), "l_returnflag"
+        )
+        saved = rows.where(F.col("l_returnflag") != "R").select("k", "v")
+        changed = F.when(F.col("l_returnflag") == "A", F.col("v") + 100).otherwise(F.col("v"))
+        current = rows.where(F.col("l_returnflag") != "N").select("k", changed.alias("v"))
+        return snapshot.snapshot_diff(current, saved, keys=["k"])
+
+    @query("regression_check")
+    def regression_check(spark, d):
+        events = staging.table(spark, d, "events")
+        kind = F.when(F.col("event_type") == F.lit("click"), "stderr").otherwise("stdout")
+        sides = []
+        for run in ("1", "2"):
+            digest = F.md5(F.concat(F.lit(run), F.col("event_id").cast("string")))
+            # What really changes from run to run is the last digit of some ids.
+            told = F.when(
+                F.col("event_id").cast("string").endswith("7"), F.concat(F.lit("run "), F.lit(run))
+            ).otherwise(F.lit("same"))
+            text = F.concat(
+                F.lit("obj at 0x"), digest.substr(1, 12), F.lit(" near miss 0x"), F.lit("12ab "), told
+            )
+            sides.append(events.select("event_id", kind.alias("kind"), text.alias("text")))
+        return snapshot.compare_texts(sides[1], sides[0], keys=["event_id", "kind"])
+
+    @query("text_round_trip")
+    def text_round_trip(spark, d):
+        # Values that text is bad at: NULL, line breaks, backslashes, sub-second times.
+        lines = staging.table(spark, d, "lineitem")
+        odd = F.when(F.col("l_returnflag") == "N", F.lit(None)).when(
+            F.col("l_returnflag") == "R", F.concat(F.lit("one\ntwo\\n"), F.col("l_linestatus"))
+        ).otherwise(F.lit("\\N"))
+        micros = F.make_dt_interval(secs=F.lit(0.123456).cast("decimal(18,6)"))
+        table = lines.select(
+            "l_orderkey", "l_partkey", odd.alias("odd"), (F.col("l_shipdate") + micros).alias("moment")
+        )
+        path = f"{shared_folder(spark)}/areashare/round-trip-{uuid.uuid4().hex}"
+        write_text_table(table, path)
+        return read_own_text(spark, path, table.schema)
+
+    @query("report_trend")
+    def report_trend(spark, d):
+        # The whole report: its trend beside the middle of its bands.
+        report = share_report(
+            spark,
+            share,
+            rx(spark, d),
+            areas(spark, d),
+            f"{shared_folder(spark)}/areashare/report-{spark.sparkContext.applicationId}",
+            inputs=[staging.table_path(d, name) for name in staging.INPUT_TABLES],
+            vmin=SCALE[0],
+            vmax=SCALE[1],
+        )
+        middle = report.bands.where("percentile = 50").select("month", F.round("perc_doacs", 6).alias("median"))
+        return report.trend.join(middle, "month", "left")
+
     return found

@@ -42,15 +42,15 @@ def share_report(
     areas: DataFrame,
     path: str,
     *,
-    inputs: Sequence[str] = (),
+    inputs: Sequence[str],
     refresh: bool = False,
     vmin: float = 0,
     vmax: float = 100,
 ) -> ShareReport:
     """The measure table, written once under ``path``, and the views that read it.
 
-    ``inputs`` are the paths behind ``rx`` and ``areas``; without them a change of
-    the data goes unnoticed until ``refresh``.
+    ``inputs`` are the paths behind ``rx`` and ``areas``: a change of the files, or other
+    files, make another result.
     """
     measure = ResultCache(path).get(
         spark,

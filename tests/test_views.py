@@ -74,17 +74,24 @@ def test_write_panels(spark, measure, areas, tmp_path):
 
 
 def test_report(spark, rx, areas, measure, tmp_path):
-    path = str(tmp_path / "report")
-    report = share_report(spark, DOAC_SHARE, rx, areas, path)
+    path, facts, dims = (str(tmp_path / name) for name in ("report", "rx", "areas"))
+    rx.write.parquet(facts)
+    areas.write.parquet(dims)
+    rx, areas = spark.read.parquet(facts), spark.read.parquet(dims)
+    report = share_report(spark, DOAC_SHARE, rx, areas, path, inputs=[facts, dims])
     assert rows(report.measure) == rows(measure)
     assert rows(report.trend) == [(JAN, 30), (FEB, 50)]
     assert rows(report.latest) == [(FEB, "February 2012")]
     assert rows(report.layer) == LAYER
     assert rows(report.bands.where("percentile = 50")) == [(JAN, 50, 15.0), (FEB, 50, 50.0)]
-    again = share_report(spark, DOAC_SHARE, rx.limit(0), areas, path)
+    again = share_report(spark, DOAC_SHARE, rx.limit(0), areas, path, inputs=[facts, dims])
     assert rows(again.measure) == rows(measure)
-    fresh = share_report(spark, DOAC_SHARE, rx.limit(0), areas, path, refresh=True)
-    assert rows(fresh.measure) == []
+    other = str(tmp_path / "other")
+    rx.withColumn("items", rx.items * 100).write.parquet(other)
+    more = share_report(spark, DOAC_SHARE, spark.read.parquet(other), areas, path, inputs=[other, dims])
+    assert rows(more.trend) == [(JAN, 3000), (FEB, 5000)]
+    with pytest.raises(TypeError):
+        share_report(spark, DOAC_SHARE, rx, areas, path)
 
 
 @pytest.mark.parametrize("column", ["month", "pct"])
