@@ -1,0 +1,313 @@
+"""The operators that run Python inside tasks, against brute force."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from areashare.llm import html_text, packing, quality, secrets, simhash, token_files, tokens, toxicity
+from areashare.llm.automaton import RuleSet
+from areashare.llm.queries import tokenizer_path
+
+DOCS = "doc_id bigint, text string, length bigint, shard string"
+TEXTS = [
+    (3, "Plain words, here."), (1, None), (2, ""), (2, ""), (8, "x " * 9000), (None, "<|endoftext|> I'LL É é"),
+    (5, "Plain words, here."), (6, "\x1c\x85★ ́a 12 ½\x00"),
+]
+
+
+def docs(spark, rows=TEXTS):
+    return spark.createDataFrame([(i, text, 1, "z") for i, text in rows], DOCS)
+
+
+def ids_of(text):
+    found = tokens.encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False)
+    return np.array([*found.ids, 1], np.uint32)
+
+
+def test_word_by_word_is_the_same(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 20)
+    rng = random.Random(3)
+    parts = [
+        "a", "B", "É", "ß", "Σ", "'s", "'T", "!", "..", "<|endoftext|>", "<|StartOfText|>", "★", "12", "½",
+        "́", " ", " ", "\x1c", "\x85", "\x00", " ", "\n", "中", "👍", "%%", "ſ", "‍", "don't",
+    ]
+    own = tokens.WordEncoder(tokenizer_path())
+    for _ in range(100):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(20)]
+        ids, ends = own.encode([text.encode() for text in texts], 1)
+        assert [list(x) for x in np.split(ids, ends[:-1])] == [list(ids_of(text)) for text in texts]
+
+
+def test_token_files(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_files.write_token_files(docs(spark), path, tokenizer_path())
+    rows = token_files.read_token_files(spark, path)
+    found = [tuple(r) for r in token_files.token_digests(rows).orderBy("start").collect()]
+    expected, start = [], 0
+    for doc_id, text in sorted(TEXTS, key=lambda row: (row[0] is not None, row[0] or 0)):
+        ids = ids_of(text)
+        expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert found == expected
+    from helpers import plan
+
+    assert "EqualTo(doc_id,5)" in plan(rows.where("doc_id = 5"))
+    assert list(rows.where("doc_id = 5").first().ids) == list(ids_of("Plain words, here."))
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    token_files.write_token_files(docs(spark, []), str(tmp_path / "t"), tokenizer_path())
+    assert token_files.read_token_files(spark, str(tmp_path / "t")).collect() == []
+
+
+def best_fit(lengths, capacity):
+    """One item after the other into the fullest bin with room."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_plan_is_best_fit(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 16, 100])
+    lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 400))]
+    counts = collections.Counter(lengths)
+    plan = packing.plan_best_fit(counts, capacity)
+    assert plan.n_sequences == best_fit(lengths, capacity)
+    held = collections.defaultdict(list)
+    for length, n in counts.items():
+        for s, o in zip(*plan.slots(np.full(n, length), np.arange(n))):
+            held[s].append((o, length))
+    assert len(held) == plan.n_sequences
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def test_packing(spark):
+    found = packing.best_fit_packing(docs(spark), tokenizer_path(), capacity=64).collect()
+    expected = collections.Counter()
+    for doc_id, text in TEXTS:
+        ids = ids_of(text)
+        for k in range(0, len(ids), 64):
+            part = ids[k : k + 64]
+            expected[(doc_id, k // 64, k, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert collections.Counter(tuple(r)[:5] for r in found) == expected
+    at = collections.defaultdict(int)
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 64 and len(at) == best_fit([r.length for r in found], 64)
+    assert packing.best_fit_packing(docs(spark, []), tokenizer_path()).collect() == []
+
+
+def base_spans(text):
+    keyword = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [("assign", *m.span()) for m in re.finditer(keyword, text, re.I | re.A) if len(m[1]) >= 8]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_rules(monkeypatch):
+    monkeypatch.setattr(RuleSet, "LANE", 16)
+    rng = random.Random(4)
+    parts = [
+        "password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "=", ":", "é", "AKIA", "Z9", "a",
+        "0123456789abcdef", "abcdefgh", "\n", "x.y", "-", "/", "\0", "中", "F", "ſ", "-----BEGIN RSA PRIVATE KEY-----",
+    ]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(20)]
+        for text, spans in zip(texts, secrets.spans_of([t.encode() for t in texts])):
+            assert [s for s in spans if s[0] in secrets.BASE] == base_spans(text), text
+
+
+def test_secret_rows(spark):
+    long = "word " * 30_000 + "token=abcdefgh1"
+    rows = [(1, None), (2, ""), (3, "é -----BEGIN RSA PRIVATE KEY----- x"), (4, long), (4, long), (None, "a")]
+    found = [(r.doc_id, [tuple(s) for s in r.spans]) for r in secrets.secret_spans(docs(spark, rows)).collect()]
+    at = long.index("token")
+    assert sorted(found, key=str) == sorted(
+        [(1, []), (2, []), (3, [("private_key", 2, 33)]), *[(4, [("assign", at, len(long))])] * 2, (None, [])], key=str
+    )
+    digest = secrets.secret_digests(secrets.secret_spans(docs(spark, rows[3:4]))).first()
+    assert (digest.n_assign, digest.n_access, digest.n_hex) == (1, 0, 0)
+    assert digest.spans == f"assign:{at}:{len(long)}"
+    assert secrets.secret_spans(docs(spark, [])).collect() == []
+
+
+def test_toxicity_learns_words_and_their_misspellings():
+    rng = random.Random(5)
+    syllables = ["ta", "mo", "ri", "se", "lu", "ne", "ko", "pi"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    texts, toxic = [], []
+    for i in range(500):
+        words = [word() for _ in range(rng.randint(5, 60))]
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["blockhead", "nitwit", "dimbulb"])
+        texts.append(" ".join(words))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit(texts[:400], np.array(toxic[:400]))
+    score = lambda text: model.score(toxicity.words_of(text), {})
+    right = [(score(text) >= 0.5) == y for text, y in zip(texts[400:], toxic[400:])]
+    assert np.mean(right) > 0.97
+    worst = lambda text: model.worst(toxicity.words_of(text), {})
+    clean = [worst(text) for text, y in zip(texts[400:], toxic[400:]) if not y]
+    assert worst("ta mori selu blokhead neko") > np.quantile(clean, 0.95)
+    assert score("ta mori selu neko") < 0.5 and score("") < 0.5
+
+
+def test_toxicity_rows(spark):
+    df = docs(spark)
+    labels = spark.createDataFrame([(3, 0), (5, 1), (8, 0), (None, 1), (77, 1)], "doc_id bigint, toxic int")
+    found = toxicity.toxicity(df, toxicity.train(df, labels)).collect()
+    assert len(found) == len(TEXTS) and all(0 <= r.score <= 1 for r in found)
+    one = toxicity.train(df, labels.where("toxic = 0"))
+    assert all(r.score < 0.5 for r in toxicity.toxicity(df, one).collect())
+    assert toxicity.toxicity(docs(spark, []), one).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header class="site"><p>Site name and a long line of words about it</p></header><nav><ul><li><a href=x>Menu</a></ul></nav>
+<div class="cookie-notice">We use cookies, and say so with many words, at length</div>
+<article><h1>Head &amp; tail</h1><p><b>First  para
+graph<br>goes on.<p>Short.</p><ul><li>One<li>Two</ul><aside>Aside</aside><form>Sign up <input></form>
+<p>Another paragraph with &eacute;nough words to be content of the page.</p>
+<section id="comments"><p>A reader says a lot of things here, which is not the article.</p></section></article>
+<footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == (
+        "Head & tail\nFirst para graph goes on.\nShort.\nOne\nTwo\n"
+        "Another paragraph with énough words to be content of the page."
+    )
+
+
+def test_main_text_without_an_article():
+    body = "".join(f"<p>Paragraph {i} has a good many words of content in it.</p>" for i in range(8))
+    links = "".join(f"<li><a href=#{i}><b>L{i}</b></a></li>" for i in range(20))
+    page = f"<body><div><ul>{links}</ul></div><div>{body}<p>End.</p></div></body>"
+    found = html_text.main_text(page).split("\n")
+    assert len(found) == 9 and found[-1] == "End." and found[0].startswith("Paragraph 0")
+
+
+def test_page_rows(spark):
+    rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>unclosed <b>text", 3), (3, "u", "<p>unclosed <b>text", 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
+    found = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in html_text.html_text(pages).collect())
+    assert found == [(1, "u", "", 0), (2, "", "", 0), *[(3, "u", "unclosed text", 13)] * 2]
+    assert html_text.html_text(pages.limit(0)).collect() == []
+
+
+def counted(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    windows = list(zip(words, words[1:], words[2:]))
+    times = collections.Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choices(["a ", "b ", "é ", "\n", "a\n", " ", "#", " ", "\x1c", "\x0b", "<x> "], k=60))
+        assert quality.measure(text.encode()) == counted(text), text
+
+
+def test_quality_keeps_what_reads_like_trusted_text(spark):
+    rng = random.Random(7)
+    good = lambda: " ".join(rng.choices("the cat sat on a mat and then it went home again".split(), k=90))
+    bad = lambda: " ".join(f"{rng.randint(0, 999)}%%%" for _ in range(90))
+    rows = [(i, bad() if i % 5 == 0 else good()) for i in range(200)] + [(None, good()), (500, None), (501, "a " * 400)]
+    df = docs(spark, rows)
+    trusted = df.where("doc_id % 5 = 1").select("doc_id")
+    found = {r.doc_id: r for r in quality.quality_rules(df, trusted).collect()}
+    assert all(found[i].kept == (i % 5 != 0) for i in range(200)) and found[None].kept
+    assert found[500].base_failed and found[500].score == 0 and found[501].base_failed
+    kept = quality.keep_good(df, trusted)
+    assert kept.columns == df.columns and kept.count() == 161
+    assert quality.quality_rules(docs(spark, []), trusted).collect() == []
+    assert all(r.score == 0 for r in quality.quality_rules(df, trusted.limit(0)).collect())
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    """Least id reachable over links of at most two bits."""
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in prints}
+
+
+def test_links_and_components(spark):
+    rng = random.Random(8)
+    prints, n = {}, 0
+    for _ in range(12):  # chains of one, two and three bits
+        bits = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            prints[n], n = bits, n + 1
+            for _ in range(rng.choice([0, 1, 2, 2, 3])):
+                bits ^= 1 << rng.randrange(64)
+    signed = {i: b - (1 << 64) if b >> 63 else b for i, b in prints.items()}
+    table = spark.createDataFrame([(b,) for b in signed.values()], "bits bigint").distinct()
+    roots = {r.bits: r.root for r in simhash.classes(table).collect()}
+    expected = brute_components(prints)
+    for i in prints:
+        for j in prints:
+            assert (roots[signed[i]] == roots[signed[j]]) == (expected[i] == expected[j])
+
+
+def test_simhash_groups(spark):
+    rng = random.Random(9)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "oNE"), (6, "one two"), (6, "one two"), (None, "ONE")]
+    for i in range(10, 60, 2):
+        words = [f"w{rng.randint(0, 50)}" for _ in range(rng.choice([3, 80, 400]))]
+        changed = list(words)
+        changed[rng.randrange(len(words))] = "new"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+    found = simhash.simhash_groups(docs(spark, rows)).collect()
+    prints = {i: brute_fingerprint(text) for i, text in rows if i is not None}
+    expected = brute_components(prints)
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is None:
+            assert r.component_id == expected[4]
+        else:
+            assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", expected[r.doc_id])
+    kept = simhash.near_dedup(docs(spark, rows))
+    assert kept.columns == docs(spark).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
+    assert simhash.simhash_groups(docs(spark, [])).collect() == []
+    assert simhash.near_dedup(docs(spark, [])).collect() == []
