@@ -21,13 +21,14 @@ OWN_OPTIONS = TEXT_OPTIONS | {"nullValue": NULL_MARK, "emptyValue": '""', "quote
 # In files of others nothing stands for NULL and "" for empty text. The reader takes what it
 # calls null value for NULL wherever it came from, so it must be no value of the data.
 READ_OPTIONS = TEXT_OPTIONS | {"nullValue": "\u0000", "emptyValue": ""}
+ESCAPES = (("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
 NTZ_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def _kept(value: Column, kind: T.DataType) -> Column:
     """A value as text on one line that gives the value back."""
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
-        for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        for raw, escaped in (("\\", "\\\\"), *ESCAPES):
             value = F.replace(value, F.lit(raw), F.lit(escaped))
         return value
     if isinstance(kind, T.TimestampType):  # the same moment in any time zone
@@ -41,14 +42,13 @@ def _kept(value: Column, kind: T.DataType) -> Column:
 
 def _given_back(text: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
-        # Doubled backslashes apart, a backslash begins a line break.
-        parts = F.transform(
-            F.split(text, r"\\\\", -1),
-            lambda p: F.replace(
-                F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")
-            ),
-        )
-        return F.array_join(parts, "\\")
+        # Doubled backslashes apart, a backslash begins another escape.
+        def unescaped(part: Column) -> Column:
+            for raw, escaped in ESCAPES:
+                part = F.replace(part, F.lit(escaped), F.lit(raw))
+            return part
+
+        return F.array_join(F.transform(F.split(text, r"\\\\", -1), unescaped), "\\")
     if isinstance(kind, T.TimestampType):
         return F.timestamp_micros(text.cast("bigint"))
     return text.cast(kind)
