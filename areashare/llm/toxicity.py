@@ -22,7 +22,7 @@ GRAMS = (3, 4, 5)
 WINDOW = 2
 # Labelled rows fitted on at most, those with the smallest hashes of their ids,
 # and the characters a text may have to be fitted on. Scores have no such bounds.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 200_000
 # Windows in a fit: all of toxic texts up to half of these, the rest from others.
 SAMPLE_WINDOWS = 100_000
@@ -161,19 +161,21 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     if len(set(toxic.tolist())) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if share > 0.5 else -30.0)
-    places = {label: [] for label in (0, 1)}
-    for doc, words in enumerate(split):
-        places[int(toxic[doc])] += [(doc, int(i)) for i in windows(len(words))]
+    count = np.array([len(windows(len(words))) for words in split])
+    doc_of = np.repeat(np.arange(len(split)), count)
+    begin = (np.arange(len(doc_of)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
     half = SAMPLE_WINDOWS // 2
-    drawn = {
-        label: [found[i] for i in rng.permutation(len(found))[:half]] for label, found in places.items()
-    }
+    drawn = {}
+    for label in (0, 1):
+        some = rng.permutation(np.flatnonzero(toxic[doc_of] == label))[:half]
+        drawn[label] = list(zip(doc_of[some].tolist(), begin[some].tolist()))
     clean, chosen = drawn[0], drawn[1]
+    kept: dict[str, float] = {}
     for round_ in range(ROUNDS):
         bags = _bags(split, clean + chosen)
         y = np.repeat([0.0, 1.0], [len(clean), len(chosen)])
         model = _softmax_fit(bags, y, rng)
-        kept: dict[str, float] = {}
+        kept = {}
         ranked = [model.ranked(words, kept) for words in split]
         if round_ + 1 < ROUNDS:
             n = WORST[round_]

