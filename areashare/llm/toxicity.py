@@ -22,7 +22,7 @@ GRAMS = (3, 4, 5)
 WINDOW = 2
 # Labelled rows fitted on at most, those with the smallest hashes of their ids,
 # and the characters a text may have to be fitted on. Scores have no such bounds.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 200_000
 # Windows in a fit: all of toxic texts up to half of these, the rest from others.
 SAMPLE_WINDOWS = 100_000
