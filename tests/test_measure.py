@@ -127,3 +127,30 @@ def test_plan_sums_before_it_joins_when_areas_are_many(spark):
     assert text.count("hashpartitioning") == 3
     tree = text[: text.index("(1) ")]
     assert tree.index("SortMergeJoin") < tree.index("HashAggregate")
+
+
+def test_row_level_join_splits_a_hot_area(spark, tmp_path):
+    """An area with a third of all facts is spread over several tasks by adaptive execution."""
+    facts = spark.range(0, 60_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 1000 END AS pct", "uuid() AS text"
+    )
+    facts.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    areas = spark.range(1000).selectExpr("id AS code", "'CCG' AS org_type")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = facts.join(areas, facts["pct"] == areas["code"])
+        assert len(joined.collect()) == 60_000
+        text = plan(joined)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "SortMergeJoin(skew=true)" in text
