@@ -17,9 +17,9 @@ from areashare.llm.tokens import as_bytes
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 # Words averaged together; a text is as toxic as its worst window.
-WINDOW = 2
+WINDOW = 1
 # Labelled rows fitted on at most, those with the smallest hashes of their ids,
 # and the characters a text may have to be fitted on. Scores have no such bounds.
 SAMPLE_ROWS = 8_000
@@ -27,10 +27,9 @@ SAMPLE_CHARS = 200_000
 # Windows in a fit: all of toxic texts up to half of these, the rest from others.
 SAMPLE_WINDOWS = 100_000
 EPOCHS = 25
-DECAY = 1e-7
-# Fits in a row, and the worst windows of a toxic text that the next one takes.
-ROUNDS = 3
-WORST = (8, 4)
+DECAY = 1e-5
+# The worst windows of a toxic text that each further fit takes.
+WORST = (8, 3, 1)
 # Words kept per worker; past that the table starts again.
 KEPT_WORDS = 300_000
 
@@ -63,25 +62,29 @@ class Model:
     shift: float = 0.0
 
     def word_logits(self, words: list[str], kept: dict[str, float]) -> np.ndarray:
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
         for word in dict.fromkeys(words):
             if word not in kept:
                 kept[word] = float(self.weight[grams_of(word)].mean())
         return np.fromiter(map(kept.__getitem__, words), np.float64, len(words))
 
-    def ranked(self, words: list[str], kept: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Where a text's windows begin and their logits without the bias, the greatest first."""
-        begins = windows(len(words))
+    def logits(self, words: list[str], kept: dict[str, float]) -> np.ndarray:
+        """Logits of a text's windows, without the bias."""
         if not words:
-            return begins, np.empty(0)
+            return np.empty(0)
+        begins = windows(len(words))
         sums = np.add.reduceat(self.word_logits(words, kept), begins)
-        logits = sums / np.diff(begins, append=len(words))
-        order = np.argsort(-logits, kind="stable")
-        return begins[order], logits[order]
+        return sums / np.diff(begins, append=len(words))
 
     def worst(self, words: list[str], kept: dict[str, float]) -> float:
         """The greatest logit of a text's windows; a text without words has the bias alone."""
-        _, logits = self.ranked(words, kept)
-        return self.bias + (float(logits[0]) if len(logits) else 0.0)
+        return self.bias + (float(self.logits(words, kept).max()) if words else 0.0)
+
+    def worst_begins(self, words: list[str], kept: dict[str, float], n: int) -> list[int]:
+        """Where the ``n`` windows with the greatest logits begin, the greatest first."""
+        order = np.argsort(-self.logits(words, kept), kind="stable")[:n]
+        return (order * WINDOW).tolist()
 
     def score(self, words: list[str], kept: dict[str, float]) -> float:
         z = self.slope * self.worst(words, kept) + self.shift
@@ -125,7 +128,8 @@ def _softmax_fit(bags: list[list[str]], y: np.ndarray, rng: np.random.Generator)
     share_1 = y.mean()
     weight = np.where(y == 1, 0.5 / share_1, 0.5 / (1 - share_1)) / len(y)
 
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
+    # An n-gram that no window has stays at zero and says nothing.
+    embedding = np.zeros((BUCKETS, DIMENSIONS))
     head = rng.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.zeros(2)
     target = np.column_stack([1 - y, y])
@@ -153,36 +157,38 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Model:
     """A model of windows, then slope and shift of whole texts.
 
     Only texts are labelled. At first windows carry their text's label; from then on a toxic text is held to
-    be toxic for its worst windows alone, and other texts for none, their worst included.
+    be toxic for its worst windows alone, fewer from fit to fit, and other texts for none, their worst included.
     """
     rng = np.random.default_rng(seed)
     same: dict[str, str] = {}  # one string per word
     split = [[same.setdefault(word, word) for word in words_of(text)] for text in texts]
-    if len(set(toxic.tolist())) < 2:
+    count = np.array([len(windows(len(words))) for words in split], np.int64)
+    if len(set(toxic[count > 0].tolist())) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if share > 0.5 else -30.0)
-    count = np.array([len(windows(len(words))) for words in split])
-    doc_of = np.repeat(np.arange(len(split)), count)
-    begin = (np.arange(len(doc_of)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
-    half = SAMPLE_WINDOWS // 2
-    drawn = {}
-    for label in (0, 1):
-        some = rng.permutation(np.flatnonzero(toxic[doc_of] == label))[:half]
-        drawn[label] = list(zip(doc_of[some].tolist(), begin[some].tolist()))
-    clean, chosen = drawn[0], drawn[1]
-    kept: dict[str, float] = {}
-    for round_ in range(ROUNDS):
-        bags = _bags(split, clean + chosen)
+
+    def drawn(label: int) -> list[tuple[int, int]]:
+        docs = np.flatnonzero(toxic == label)
+        upto = np.cumsum(count[docs])
+        some = rng.permutation(upto[-1])[: SAMPLE_WINDOWS // 2]
+        doc = np.searchsorted(upto, some, side="right")
+        begin = (some - upto[doc] + count[docs][doc]) * WINDOW
+        return list(zip(docs[doc].tolist(), begin.tolist()))
+
+    clean, chosen = drawn(0), drawn(1)
+    for n in (*WORST, 0):
         y = np.repeat([0.0, 1.0], [len(clean), len(chosen)])
-        model = _softmax_fit(bags, y, rng)
-        kept = {}
-        ranked = [model.ranked(words, kept) for words in split]
-        if round_ + 1 < ROUNDS:
-            n = WORST[round_]
-            chosen = [(d, at) for d in np.flatnonzero(toxic == 1) for at in ranked[d][0][:n]]
-            hard = [(d, at) for d in np.flatnonzero(toxic == 0) for at in ranked[d][0][:1]]
-            clean = drawn[0] + hard
-    worst = np.array([logits[0] if len(logits) else 0.0 for _, logits in ranked]) + model.bias
+        model = _softmax_fit(_bags(split, clean + chosen), y, rng)
+        kept: dict[str, float] = {}
+        if n:
+            worst = {0: [], 1: []}
+            for d, words in enumerate(split):
+                label = int(toxic[d])
+                found = model.worst_begins(words, kept, n if label else 1)
+                worst[label] += [(d, at) for at in found]
+            chosen = worst[1]
+            clean = clean + worst[0]
+    worst = np.array([model.worst(words, kept) for words in split])
 
     scale = worst.std() or 1.0
     x = np.column_stack([(worst - worst.mean()) / scale, np.ones(len(worst))])
@@ -219,8 +225,6 @@ def _score(model: Model):
             scores = []
             for text in as_bytes(batch.column(1)):
                 scores.append(model.score(words_of(text.decode()), kept))
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"]
             )

@@ -168,6 +168,9 @@ def test_toxicity_learns_words_and_their_misspellings():
     worst = lambda text: model.worst(toxicity.words_of(text), {})
     assert worst("ta mori selu blokhead neko") > worst("ta mori selu neko")
     assert score("ta mori selu neko") < 0.5 and score("") < 0.5
+    # Toxic texts without a word leave nothing to tell apart.
+    none = toxicity.fit(["", "", "ta mori"], np.array([1, 1, 0]))
+    assert none.score(["ta"], {}) > 0.5
 
 
 def test_toxicity_rows(spark):
