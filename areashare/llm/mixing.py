@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from areashare.sources.storage import scratch_table
 
-WORD = r"[^\x20\x09-\x0D]+"
+WHITE_SPACE = r"[\x20\x09-\x0D]+"
 ROUNDS = 6
 SEED = "mix-1"
 # Marginal shares are raised to these powers and rescaled: below 1, large values give way.
@@ -21,19 +22,23 @@ TOPICS = (
     ("licence", r"(?i)licen[sc]e|copyright"),
     ("contact", r"[A-Za-z0-9.]+@[A-Za-z0-9]+\."),
 )
+# What a match holds one of, in lower case; patterns are tried on such texts alone.
+HELD = {"table": (" | ",), "shout": ("!! ",), "licence": ("licen", "copyright"), "contact": ("@",)}
 
 
 def topic_of(text: Column) -> Column:
     """The form of a text as its topic; null counts as empty."""
     found = F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        found = F.when(text.rlike(pattern), name).otherwise(found)
+        held = functools.reduce(Column.__or__, [F.lower(text).contains(part) for part in HELD[name]])
+        found = F.when(held & text.rlike(pattern), name).otherwise(found)
     return F.coalesce(found, F.lit("prose"))
 
 
 def tokens_of(text: Column) -> Column:
     """Words, at least 1, so that every document weighs something."""
-    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))).cast("bigint")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE_SPACE), "")
+    return F.greatest(F.lit(1), F.size(words)).cast("bigint")
 
 
 def tempered_targets(cells: DataFrame, temperatures: Mapping[str, float]) -> DataFrame:

@@ -137,6 +137,24 @@ def test_given_targets(spark):
     assert shares["b"][0] == pytest.approx(1 / 3) and 40 < shares["b"][1] < 95
 
 
+def test_topics_and_tokens(spark):
+    texts = {
+        "a | b": ("table", 3),
+        "!! no!!": ("shout", 2),
+        "!! no !": ("prose", 3),
+        " LICENCE\t\x0bof use ": ("licence", 3),
+        "CopyRight\u00a0me": ("licence", 1),
+        "a@b.": ("contact", 1),
+        "@ b.": ("prose", 2),
+        "": ("prose", 1),
+        " \r\n ": ("prose", 1),
+        None: ("prose", 1),
+    }
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    found = df.select("text", mixing.topic_of(F.col("text")), mixing.tokens_of(F.col("text"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == texts
+
+
 def test_mixing_odd_rows(spark):
     rows = [(None, None, None, None, None, None), (1, "", "s", "en", "x", 1.0), (1, "", "s", "en", "x", 1.0)]
     found = mixing.mix(spark.createDataFrame(rows, MIXED)).collect()
