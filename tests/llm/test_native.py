@@ -75,6 +75,34 @@ def test_a_long_line_is_a_passage_and_a_short_one_is_not(spark):
     assert found == [(1, f"a\n{long}\n{short}", 0), (2, f"{short}\nb", 1)]
 
 
+def test_runs_of_short_lines_go_whole_in_any_surroundings(spark):
+    rows, expected = [], []
+    for n, blank in ((2, False), (3, True), (4, False), (5, True), (40, False), (60, True)):
+        run = [" ".join(f"r{n}w{i}x{k}" for k in range(-(-50 // n))) for i in range(n)]
+        run = [line for pair in zip(run, [""] * n) for line in pair][:-1] if blank else run
+        for k in range(1, 7):
+            head, tail = [f"head {n} {k} {i}" for i in range(k)], [f"tail {n} {k}"]
+            rows.append((100 * n + k, "\n".join([*head, *run, *tail])))
+            expected.append((*rows[-1], 0) if k == 1 else (100 * n + k, "\n".join([*head, *tail]), len(run)))
+    assert cut(spark, rows) == expected
+
+
+def test_lines_that_share_a_hash_are_told_apart_by_bytes(spark, monkeypatch):
+    real = F.xxhash64
+    # All lines collide, and all keys with them.
+    weak = lambda *columns: real(*columns) if "text" in str(columns[0]) else F.lit(7).cast("bigint")
+    a, b = " ".join(["a"] * 60), " ".join(["b"] * 60)
+    monkeypatch.setattr(line_dedup.F, "xxhash64", weak)
+    assert cut(spark, [(1, a), (2, b), (3, a)], divisor=1) == [(1, a, 0), (2, b, 0), (3, "", 1)]
+
+
+def test_a_run_goes_with_a_short_tail_and_not_below_fifty_words(spark):
+    long, short = " ".join(f"w{i}" for i in range(55)), " ".join(f"v{i}" for i in range(24))
+    rows = [(1, f"a\n{long}\ntail\nb"), (2, f"c\n{long}\ntail\nd"), (3, f"e\n{short}\n{short}\n{short}"), (4, f"f\n{short}\ng")]
+    found = cut(spark, rows, divisor=10**9)
+    assert found == [(1, rows[0][1], 0), (2, "c\nd", 2), (3, rows[2][1], 0), (4, rows[3][1], 0)]
+
+
 def test_lines_of_odd_rows(spark):
     long = " ".join(["word"] * 60)
     rows = [(1, None), (2, ""), (3, " \n \n"), (4, long), (4, long), (None, long), (5, long)]
