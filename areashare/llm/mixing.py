@@ -15,6 +15,8 @@ ROUNDS = 6
 SEED = "mix-1"
 # Marginal shares are raised to these powers and rescaled: below 1, large values give way.
 TEMPERATURES = {"source": 0.8, "lang": 0.9, "topic": 0.95}
+# Share of the tokens asked for that rare cells may lack in the pipeline.
+SHORT = 0.01
 # Forms of text, by the first pattern found; the last holds the rest.
 TOPICS = (
     ("table", r" \| "),
@@ -89,6 +91,26 @@ def rake(cells: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> DataFr
     return raked
 
 
+def level(raked: DataFrame, short: float) -> float:
+    """The weight from which on documents all stay.
+
+    Cells above it hold fewer tokens than their weights ask for. It is the least weight at which what they lack is
+    ``short`` of all tokens asked for; with 0 it is the greatest weight. What is lacking falls with the level along a
+    convex line, so that Newton's steps rise to it; each is an aggregate over the cells.
+    """
+    asked = F.sum(F.col("tokens") * F.col("weight"))
+    top, total = raked.agg(F.max("weight"), asked).first()
+    if not top or not short:
+        return top or 1.0
+    found = 0.0
+    while True:
+        held, tokens = raked.where(F.col("weight") > found).agg(asked, F.sum("tokens")).first()
+        risen = (held - short * total) / tokens if tokens else found
+        if risen <= found * (1 + 1e-12):
+            return found
+        found = risen
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the id and the seed alone; null counts as an id of its own."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
@@ -101,13 +123,17 @@ def mix(
     targets: Mapping[str, DataFrame] | None = None,
     rounds: int = ROUNDS,
     seed: str = SEED,
+    short: float = 0.0,
 ) -> DataFrame:
     """Every row with its topic, tokens, probability and whether it is sampled.
 
     Columns: doc_id, source, lang, topic, tokens, probability, sampled, and ``row``, the input row. Token
     weights are raked to the marginals of source, lang and topic; probabilities are the weights divided by
     the greatest of them, so that documents of the most wanted cell all stay, and the expected tokens
-    have the target shares. ``targets`` replace the tempered shares, see ``given_targets``. A null source or lang is a value like any other, a null text counts as empty and weighs one
+    have the target shares. A rare cell of great weight so decides how much of the rest stays. With ``short``, such
+    cells are taken whole and the rest is weighed as if they met their targets, until they lack that share of
+    all tokens asked for; see ``level``. The expected tokens then differ from the target shares by no more than
+    ``short`` / (1 - ``short``). ``targets`` replace the tempered shares, see ``given_targets``. A null source or lang is a value like any other, a null text counts as empty and weighs one
     token. Repeated rows, and all with one doc_id in one cell, stay or go together. An empty
     table gives an empty one.
     """
@@ -124,10 +150,10 @@ def mix(
     cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
     raked = scratch_table(rake(aimed, names, rounds), "raked")
-    top = raked.agg(F.max("weight")).first()[0] or 1.0
+    top = level(raked, short)
     shares = raked.select(
         *[F.col(name).alias(f"_{name}") for name in names],
-        F.round(F.col("weight") / F.lit(top), 9).alias("probability"),
+        F.least(F.lit(1.0), F.round(F.col("weight") / F.lit(top), 9)).alias("probability"),
     )
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names]
     return marked.join(shares, same[0] & same[1] & same[2]).select(

@@ -165,6 +165,23 @@ def test_given_targets(spark):
     assert shares["b"][0] == pytest.approx(1 / 3) and 40 < shares["b"][1] < 95
 
 
+def test_a_stray_row_hardly_changes_the_pipelines_mix(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 300, f"s{i % 4}", "en" if i % 3 else "de", "x", 0.0) for i in range(1200)]
+    stray = [(5000, "word", None, "en", "x", 0.0), (5001, "word " * 300, "new", None, "x", 0.0)]
+    kept = []
+    for extra in ([], stray[:1], stray):
+        df = spark.createDataFrame(rows + extra, MIXED)
+        kept.append({r.doc_id for r in corpus_pipeline.mix_sources(spark, df, "").collect()})
+        assert kept[-1] >= {r[0] for r in extra}
+        found = mixing.mix(df, short=mixing.SHORT).toPandas()
+        expected, wanted = found.tokens * found.probability, found.groupby("source", dropna=False).tokens.sum() ** 0.8
+        share = expected.groupby(found.source, dropna=False).sum() / expected.sum()
+        assert (share - wanted / wanted.sum()).abs().max() < 0.0102
+    assert all(len(kept[0] ^ other) < 0.05 * len(kept[0]) for other in kept[1:])
+
+
 def test_topics_and_tokens(spark):
     texts = {
         "a | b": ("table", 3),
