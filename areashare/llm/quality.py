@@ -13,8 +13,6 @@ from areashare.llm.tokens import as_bytes, slices
 
 BUCKETS = 1 << 16
 NGRAM = 3  # bytes
-# Trusted rows looked up at most, those with the smallest hashes of their ids.
-TRUSTED_ROWS = 20_000
 # Mean log-likelihood ratio of an n-gram below which a text is rejected.
 THRESHOLD = -0.5
 SMOOTHING = 0.5
@@ -40,36 +38,32 @@ def ngram_buckets(text: bytes) -> np.ndarray:
     return ((key * np.uint32(2654435769)) >> np.uint32(16)).astype(np.int64)
 
 
-def _count(trusted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            known = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), trusted)
-            for text, good in zip(as_bytes(batch.column(1)), known):
-                counts = np.bincount(ngram_buckets(text), minlength=BUCKETS)
-                raw += counts
-                if good:
-                    target += counts
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(raw[used]), pa.array(target[used])],
-            names=["bucket", "raw", "target"],
-        )
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for text, good in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            counts = np.bincount(ngram_buckets(text), minlength=BUCKETS)
+            raw += counts
+            if good:
+                target += counts
+    used = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(used), pa.array(raw[used]), pa.array(target[used])],
+        names=["bucket", "raw", "target"],
+    )
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, rows: int = TRUSTED_ROWS) -> np.ndarray:
+def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Per bucket the log-likelihood ratio of the trusted against the raw multinomial.
 
-    The raw counts are of all documents, the trusted ones of at most ``rows`` documents named by
-    ``trusted``. Each task adds up its own; what reaches the driver is a row per bucket.
+    The raw counts are of all documents, the trusted ones of all that ``trusted`` names. Each task adds up
+    its own; what reaches the driver is a row per bucket.
     """
-    ids = trusted.select(F.col("doc_id").cast("bigint")).where("doc_id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    known = np.array(sorted(row.doc_id for row in ids), np.int64)
-    text = docs.select(F.col("doc_id").cast("bigint"), "text")
-    counts = text.mapInArrow(_count(known), "bucket bigint, raw bigint, target bigint")
+    ids = trusted.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id IS NOT NULL").distinct()
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    text = text.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    counts = text.select("text", F.col("_id").isNotNull().alias("good"))
+    counts = counts.mapInArrow(_count, "bucket bigint, raw bigint, target bigint")
     counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counts.collect():

@@ -249,6 +249,20 @@ def test_quality_keeps_what_reads_like_trusted_text(spark):
     assert all(r.score == 0 for r in quality.quality_rules(df, trusted.limit(0)).collect())
 
 
+def test_all_trusted_documents_are_counted(spark):
+    df = spark.range(24_000).selectExpr("id AS doc_id", "concat('t', id % 97, ' u', id % 89) AS text")
+    trusted = df.where("doc_id % 12 < 11").select("doc_id")
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i in range(24_000):
+        buckets = quality.ngram_buckets(f"t{i % 97} u{i % 89}".encode())
+        np.add.at(raw, buckets, 1)
+        np.add.at(target, buckets, i % 12 < 11)
+    used = np.count_nonzero(raw)
+    prior = (raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS)
+    smooth = (target + 0.5 * used * prior) / (target.sum() + 0.5 * used)
+    assert quality.ratios(df, trusted.union(trusted)) == pytest.approx(np.log(smooth / prior), abs=1e-9)
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
