@@ -166,38 +166,32 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
 
 
-def content_lines(lines: list[Line]) -> np.ndarray:
-    """Lines whose smoothed text-to-tag ratio is above a part of the ratios' spread."""
+def content_lines(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines whose smoothed text-to-tag ratio is above a part of the ratios' spread, and those whose own is too."""
     ratio = np.array([len(line.text) / max(1, line.tags) for line in lines])
     smoothed = smooth(ratio)
-    return smoothed >= min(SPREAD * smoothed.std(), smoothed.max())
+    threshold = min(SPREAD * smoothed.std(), smoothed.max())
+    return smoothed >= threshold, (smoothed >= threshold) & (ratio >= threshold)
 
 
 def main_lines(lines: list[Line], kinds: list[str]) -> list[Line]:
     """The lines of the region that holds the content.
 
-    That is the article with most text in content lines; without one, a main element; else the
-    innermost region that holds four fifths of that text. Short lines in it belong to it.
+    That are all outermost articles with content lines; without one, all such main elements; else the innermost
+    region that holds all content lines but those raised by their neighbours alone. Short lines in it belong to it.
     """
     if not lines:
         return []
-    chosen = content_lines(lines)
-    weight: dict[int, int] = {}
-    total = 0
-    for line, good in zip(lines, chosen):
-        if good:
-            total += len(line.text)
-            for region in line.regions:
-                weight[region] = weight.get(region, 0) + len(line.text)
+    chosen, own = content_lines(lines)
     for kind in ("article", "main"):
-        named = [r for r in weight if kinds[r] == kind]
+        outer = [min((r for r in line.regions if kinds[r] == kind), default=None) for line in lines]
+        named = {r for r, good in zip(outer, chosen) if good and r is not None}
         if named:
-            best = max(named, key=lambda r: (weight[r], -r))
-            return [line for line in lines if best in line.regions]
-    most = [r for r in weight if 5 * weight[r] >= 4 * total]
-    if not most:
-        return [line for line, good in zip(lines, chosen) if good]
-    return [line for line in lines if max(most) in line.regions]
+            return [line for line, r in zip(lines, outer) if r in named]
+    held = [set(line.regions) for line, good in zip(lines, own if own.any() else chosen) if good]
+    common = set.intersection(*held)
+    # Content outside of any common region has the page for one.
+    return [line for line in lines if max(common) in line.regions] if common else lines
 
 
 def main_text(html: str) -> str:

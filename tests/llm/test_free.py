@@ -208,6 +208,17 @@ def test_main_text_without_an_article():
     assert len(found) == 9 and found[-1] == "End." and found[0].startswith("Paragraph 0")
 
 
+def test_nothing_of_an_article_in_parts_is_lost():
+    line = lambda i: f"Paragraph {i} has a good many words of content in it."
+    part = lambda at: "".join(f"<p>{line(i)}</p>" for i in at)
+    whole = "\n".join(line(i) for i in range(20))
+    split = f"<body><div><div>{part(range(17))}</div><div>{part(range(17, 20))}</div></div></body>"
+    assert html_text.main_text(split) == whole
+    assert html_text.main_text(f"<div>{part(range(17))}</div><div>{part(range(17, 20))}</div>") == whole
+    articles = f"<body><article>{part(range(12))}<article>{part(range(12, 14))}</article></article><p>x</p><article>{part(range(14, 20))}</article></body>"
+    assert html_text.main_text(articles) == whole
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>unclosed <b>text", 3), (3, "u", "<p>unclosed <b>text", 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
