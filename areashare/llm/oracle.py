@@ -55,4 +55,44 @@ SELECT doc_id, topic, tokens, round(p, 6) AS probability,
 FROM shares"""
 
 
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op9_mixing": _mixing()}
+OP12 = r"""
+WITH marks AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+base AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+flagged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))
+                 > 10 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM base LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flagged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+states AS (
+  SELECT *, translate(fails, before, '') = fails AS there, contains(fails, own) AS failed FROM counts, steps),
+audit AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (there AND NOT failed), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (there AND failed), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (failed AND NOT there), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (there AND failed), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (there AND failed), 0)::BIGINT AS toxic_lost
+  FROM states GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audit"""
+
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op9_mixing": _mixing(), "op12_filter_audit": OP12}

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from areashare.llm import (
     exact_dedup,
+    filter_audit,
     html_text,
     line_dedup,
     mixing,
     packing,
+    periodicity,
     quality,
     secrets,
     simhash,
@@ -100,6 +102,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodicity.planted)
+    return periodicity.run_digests(found)
+
+
 def build_queries() -> dict[str, Query]:
     found = (
         op1_exact_dedup,
@@ -112,5 +123,7 @@ def build_queries() -> dict[str, Query]:
         op8_simhash,
         op9_mixing,
         op10_token_files,
+        op12_filter_audit,
+        op13_periodic_runs,
     )
     return {query.__name__: query for query in found}
