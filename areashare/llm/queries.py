@@ -13,6 +13,7 @@ from areashare.llm import (
     exact_dedup,
     filter_audit,
     html_text,
+    hyperminhash,
     line_dedup,
     mixing,
     packing,
@@ -102,6 +103,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -123,6 +128,7 @@ def build_queries() -> dict[str, Query]:
         op8_simhash,
         op9_mixing,
         op10_token_files,
+        op11_minhash,
         op12_filter_audit,
         op13_periodic_runs,
     )
