@@ -143,17 +143,25 @@ def _rate(size: np.ndarray) -> np.ndarray:
     return np.clip(at, 0, len(RATES) - 1)
 
 
+def corrected(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of pairs of rows of registers, without the equal ones of unlike hashes."""
+    in_a, in_b = a != EMPTY, b != EMPTY
+    equal, both = ((a == b) & in_a).sum(axis=1), (in_a & in_b).sum(axis=1)
+    used = np.maximum((in_a | in_b).sum(axis=1), 1)
+    # Of the registers that both hold, those of unlike hashes collide by chance.
+    chance = _collisions()[_rate(size_a), _rate(size_b)]
+    return (equal - chance * both) / (used * (1 - chance))
+
+
 def may_link(
     a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int = PERCENT
 ) -> np.ndarray:
     """Whether pairs of rows of registers may be as similar, by sizes and the corrected estimate."""
     wanted = percent / 100
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    held = (a != EMPTY) | (b != EMPTY)
-    used = np.maximum(held.sum(axis=1), 1)
-    equal = ((a == b) & held).sum(axis=1)
-    chance = _collisions()[_rate(size_a), _rate(size_b)]
-    estimate = (equal / used - chance) / (1 - chance)
+    in_a, in_b = a != EMPTY, b != EMPTY
+    used = np.maximum((in_a | in_b).sum(axis=1), 1)
+    estimate = corrected(a, b, size_a, size_b)
     # The registers in use are so many draws without replacement from the union.
     union = (size_a + size_b) / (1 + wanted)
     left = np.maximum(0.1, 1 - used / np.maximum(union, used))
