@@ -1,6 +1,7 @@
 from areashare.operators.bands import ALL_BANDS, DECILES, OUTER, percentile_bands
 from areashare.operators.keys import duplicate_keys, require_unique
 from areashare.operators.measure import ShareMeasure
+from areashare.operators.sketches import merged_sketches, percentile_sketches, rank_bound, rank_errors, sketch_bands
 from areashare.operators.snapshot import (
     RUN_RULES,
     TextRule,
@@ -38,13 +39,18 @@ __all__ = [
     "latest_period",
     "latest_period_rows",
     "load_rules",
+    "merged_sketches",
     "national_rollup",
     "ordered",
     "panel",
     "percentile_bands",
+    "percentile_sketches",
+    "rank_bound",
+    "rank_errors",
     "require_unique",
     "sanitise",
     "sanitise_text",
+    "sketch_bands",
     "snapshot_diff",
     "snapshot_except_all",
     "write_panels",
