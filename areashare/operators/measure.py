@@ -59,22 +59,19 @@ class ShareMeasure:
             return areas
         return areas.where(F.col(self.area_type_column) == self.area_type)
 
-    def sums(self, rx: DataFrame, areas: DataFrame) -> DataFrame:
-        """Numerator and denominator items per period and area.
-
-        The facts are summed before they meet the areas: what is shuffled is one
-        partial row per task, period and area, however hot an area is, and the
-        join sees periods x areas rows, so it needs no broadcast to be cheap. An
-        area listed several times counts as often, by a factor and not by rows.
-        """
-        per_area = (
+    def area_sums(self, rx: DataFrame, *by: str) -> DataFrame:
+        """Numerator and denominator items per period and area code (and ``by``), known or not."""
+        return (
             self.facts(rx)
-            .groupBy(self.period_expr().alias(self.period), F.col(self.area))
+            .groupBy(*by, self.period_expr().alias(self.period), F.col(self.area))
             .agg(
                 F.sum(self.numerator_items()).alias(self.total_name),
                 F.sum(self.items).alias(self.items),
             )
         )
+
+    def of_members(self, per_area: DataFrame, areas: DataFrame) -> DataFrame:
+        """Sums of the areas that take part. An area listed several times counts as often."""
         listed = (
             self.members(areas)
             .groupBy(F.col(self.area_code).alias("__code"))
@@ -88,9 +85,23 @@ class ShareMeasure:
             (F.col(self.items) * times).alias(self.items),
         )
 
+    def sums(self, rx: DataFrame, areas: DataFrame) -> DataFrame:
+        """Numerator and denominator items per period and area.
+
+        The facts are summed before they meet the areas: what is shuffled is one
+        partial row per task, period and area, however hot an area is, and the
+        join sees periods x areas rows, so it needs no broadcast to be cheap. An
+        area listed several times counts as often, by a factor and not by rows.
+        """
+        return self.of_members(self.area_sums(rx), areas)
+
     def build(self, rx: DataFrame, areas: DataFrame) -> DataFrame:
         """The measure table: period, area, numerator items, share in percent."""
+        return self.from_sums(self.area_sums(rx), areas)
+
+    def from_sums(self, per_area: DataFrame, areas: DataFrame) -> DataFrame:
+        """The measure table from sums per period and area."""
         share = as_percent(ieee_divide(F.col(self.total_name), F.col(self.items)))
-        return self.sums(rx, areas).select(
+        return self.of_members(per_area, areas).select(
             self.period, self.area, self.total_name, share.alias(self.share_name)
         )

@@ -56,6 +56,14 @@ FROM (
   FROM measure GROUP BY month)""")
 
 
+def _within(period: str, name: str = "month") -> str:
+    """Percentiles from sketches are within the bound of their ranks everywhere."""
+    numbers = ", ".join(str(p) for p in sorted((*DECILES, *OUTER)))
+    return _with(f"""
+SELECT period AS {name}, unnest([{numbers}]) AS percentile, n, TRUE AS within
+FROM (SELECT {period} AS period, count(perc_doacs) AS n FROM measure GROUP BY ALL)""")
+
+
 SHADE = "round((least(greatest(perc_doacs, 10.0), 90.0) - 10.0) / 80.0, 9)"
 
 SNAPSHOTS = (f"cur AS ({REVISED})", "sav AS (SELECT * FROM measure)")
@@ -146,6 +154,9 @@ FROM rx GROUP BY period, pct"""
     "period_deciles": _bands(DECILES),
     "period_outer_percentiles": _bands(OUTER),
     "percentile_bands": _bands(sorted((*DECILES, *OUTER))),
+    "percentile_sketches": _within("month"),
+    "merged_sketches": _within("CAST(date_trunc('year', month) AS DATE)", "year"),
+    "incremental_measure": MEASURE_SQL,
     "ordered_measure": MEASURE_SQL + " ORDER BY month, pct",
     "ordered_rollup": ROLLUP_SQL + " ORDER BY month",
     "area_panel": _with(

@@ -21,12 +21,13 @@ from areashare.functions.scalars import (
     scale_clamp,
 )
 from areashare.functions.sql import register_sql_functions
-from areashare.operators import bands, snapshot, views
+from areashare.operators import bands, sketches, snapshot, views
 from areashare.operators.measure import ShareMeasure
 from areashare.plans.report import share_report
 from areashare.sources import staging
 from areashare.sources.cache import ResultCache
-from areashare.sources.storage import shared_folder
+from areashare.sources.partials import PartialSums
+from areashare.sources.storage import scratch_table, shared_folder
 from areashare.sources.text import read_own_text, write_text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,6 +295,40 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
     def percentile_bands(spark, d):
         return rounded_bands(spark, d, bands.ALL_BANDS)
 
+    def within_bound(values, tables, period):
+        """Whether percentiles from sketches have the ranks they should, by the values themselves."""
+        errors = sketches.rank_errors(values, sketches.sketch_bands(tables), period)
+        within = F.col("error") <= sketches.rank_bound()
+        return errors.select(period, "percentile", "n", within.alias("within"))
+
+    @query("percentile_sketches")
+    def percentile_sketches(spark, d):
+        measure = kept(spark, d)
+        tables = scratch_table(sketches.percentile_sketches(measure), "sketches")
+        return within_bound(measure, tables, "month")
+
+    @query("merged_sketches")
+    def merged_sketches(spark, d):
+        # Months and both panels of areas on their own, merged to years afterwards.
+        measure = kept(spark, d).withColumn("half", F.col("pct") % 2)
+        tables = scratch_table(sketches.percentile_sketches(measure, by=["half"]), "sketches")
+        years = sketches.merged_sketches(tables, F.trunc("month", "year").alias("year"))
+        return within_bound(measure.withColumn("year", F.trunc("month", "year")), years, "year")
+
+    @query("incremental_measure")
+    def incremental_measure(spark, d):
+        # Facts come in two deliveries; the second refresh reads the second one only.
+        facts = rx(spark, d)
+        path = f"{shared_folder(spark)}/areashare/deliveries/{uuid.uuid4().hex}"
+        store = PartialSums(
+            share, f"{path}/sums", lambda spark, files: spark.read.schema(facts.schema).parquet(*files)
+        )
+        late = F.col("month") >= F.lit(datetime.datetime(1999, 1, 1))
+        for name, delivery in (("first", facts.where(~late)), ("second", facts.where(late))):
+            delivery.write.parquet(f"{path}/facts/{name}")
+            store.refresh(spark, f"{path}/facts")
+        return store.build(spark, f"{path}/facts", areas(spark, d))
+
     # Sorts
 
     @query("ordered_measure")
