@@ -1,4 +1,5 @@
 from areashare.operators.bands import ALL_BANDS, DECILES, OUTER, percentile_bands
+from areashare.operators.digests import bucket_digests, differing_buckets, digest_diff
 from areashare.operators.keys import duplicate_keys, require_unique
 from areashare.operators.measure import ShareMeasure
 from areashare.operators.sketches import merged_sketches, percentile_sketches, rank_bound, rank_errors, sketch_bands
@@ -33,7 +34,10 @@ __all__ = [
     "TextRule",
     "area_layer",
     "assert_snapshot",
+    "bucket_digests",
     "compare_texts",
+    "differing_buckets",
+    "digest_diff",
     "duplicate_keys",
     "latest_label",
     "latest_period",

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areashare.sources.storage import scratch_table
+
 
 @dataclass(frozen=True)
 class TextRule:
@@ -96,6 +98,41 @@ def snapshot_except_all(
     )
 
 
+# Rows of one key that are numbered in one go.
+SLICE_ROWS = 65_536
+
+
+def _numbered(rows: DataFrame, keys: Sequence[str], order: str, slice_rows: int) -> DataFrame:
+    """``rows`` with ``__nth``: the place of each within its key, by ``order``.
+
+    A key of few rows is numbered in one window. If any has more than ``slice_rows``, all rows are sorted
+    over the tasks and cut into slices; rows are numbered within their slice of the key, after the counts
+    of the key's slices before. So no task ever holds a hot key.
+    """
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= slice_rows:
+        return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    ordered = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    # The id counts up within a partition and from one to the next, like the sort. Written down, because
+    # the bounds of the ranges come from a sample and differ from run to run.
+    cut = F.expr(f"monotonically_increasing_id() div {slice_rows}")
+    sliced = scratch_table(ordered.withColumn("__slice", cut), "ranks")
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *[F.col(k).alias(f"__of_{k}") for k in keys],
+        F.col("__slice").alias("__of_slice"),
+        F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"),
+    )
+    within = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(order))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    numbered = sliced.withColumn("__within", within).join(
+        counts, [F.col("__slice") == F.col("__of_slice"), *same]
+    )
+    place = F.col("__before") + F.col("__within")
+    return numbered.select(*rows.columns, place.alias("__nth"))
+
+
 def snapshot_diff(
     current: DataFrame,
     saved: DataFrame,
@@ -103,6 +140,7 @@ def snapshot_diff(
     *,
     ignore_columns: Sequence[str] = (),
     ignore_where: Column | str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every row that one side has over the other: its key's ``status`` and the values.
 
@@ -110,17 +148,15 @@ def snapshot_diff(
     in both. The rows of a key that are left over on either side stand next to each other in order of
     their values; ``saved_rows`` and ``current_rows`` count how often they are left over. So a
     key that does not repeat gives one row. Only rows that differ are grouped by key, and only
-    their keys are looked up for rows that do not.
+    their keys are looked up for rows that do not. They are written to the shared folder once.
     """
     skipped = {"ignore_columns": ignore_columns, "ignore_where": ignore_where}
-    unmatched = snapshot_except_all(current, saved, **skipped)
+    unmatched = scratch_table(snapshot_except_all(current, saved, **skipped), "unmatched")
     values = [c for c in unmatched.columns if c not in {*keys, "saved_rows", "current_rows"}]
     over = F.col("saved_rows") - F.col("current_rows")
     row = F.struct(*values) if values else F.struct(F.lit(None).alias("__none"))
-    sides = unmatched.select(*keys, row.alias("__row"), over.alias("__over")).withColumn(
-        "__nth",
-        F.row_number().over(Window.partitionBy(*keys, F.col("__over") > 0).orderBy("__row")),
-    )
+    sides = unmatched.select(*keys, row.alias("__row"), over.alias("__over"), (over > 0).alias("__left"))
+    sides = _numbered(sides, [*keys, "__left"], "__row", slice_rows)
     left, right = F.col("__over") > 0, F.col("__over") < 0
     paired = sides.groupBy(*keys, "__nth").agg(
         F.sum(F.greatest("__over", F.lit(0))).alias("saved_rows"),

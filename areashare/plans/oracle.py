@@ -76,6 +76,16 @@ STATUS = """CASE WHEN c.pct IS NULL THEN 'missing' WHEN s.pct IS NULL THEN 'unex
 MEASURE_SQL = _with("SELECT month, pct, doacs, perc_doacs FROM measure")
 ROLLUP_SQL = _with("SELECT month, CAST(sum(doacs) AS BIGINT) AS doacs FROM measure GROUP BY month")
 
+SNAPSHOT_DIFF = _with(
+    f"""
+SELECT coalesce(c.month, s.month) AS month, coalesce(c.pct, s.pct) AS pct, {STATUS},
+       s.doacs AS saved_doacs, s.perc_doacs AS saved_perc_doacs,
+       c.doacs AS current_doacs, c.perc_doacs AS current_perc_doacs
+FROM cur AS c FULL JOIN sav AS s ON c.month = s.month AND c.pct = s.pct
+WHERE c.doacs IS DISTINCT FROM s.doacs OR c.perc_doacs IS DISTINCT FROM s.perc_doacs""",
+    *SNAPSHOTS,
+)
+
 ORACLE_SQL = {
     "scan_prescribing": _with("SELECT month, pct, bnf_code, items FROM rx"),
     "scan_areas": _with("SELECT code, name, org_type, is_london FROM areas"),
@@ -171,15 +181,28 @@ FROM (
          || substr(kind, 1, 8) || '-' || substr(kind, 9, 4) || '-' || substr(kind, 13, 4) || '-'
          || substr(kind, 17, 4) || '-' || substr(kind, 21, 12) || ' ' || event_type AS text
   FROM (SELECT event_id, event_type, md5(event_type) AS kind FROM events))""",
-    "snapshot_diff": _with(
-        f"""
-SELECT coalesce(c.month, s.month) AS month, coalesce(c.pct, s.pct) AS pct, {STATUS},
-       s.doacs AS saved_doacs, s.perc_doacs AS saved_perc_doacs,
-       c.doacs AS current_doacs, c.perc_doacs AS current_perc_doacs
-FROM cur AS c FULL JOIN sav AS s ON c.month = s.month AND c.pct = s.pct
-WHERE c.doacs IS DISTINCT FROM s.doacs OR c.perc_doacs IS DISTINCT FROM s.perc_doacs""",
-        *SNAPSHOTS,
-    ),
+    "snapshot_diff": SNAPSHOT_DIFF,
+    "snapshot_digest_diff": SNAPSHOT_DIFF,
+    "snapshot_digest_same": _with("""
+SELECT pct, 'changed' AS status, CAST(1 AS BIGINT) AS saved_rows, CAST(1 AS BIGINT) AS current_rows,
+       s.month AS saved_month, s.doacs AS saved_doacs, s.month AS current_month, s.doacs + 1 AS current_doacs
+FROM measure AS s WHERE pct = 7"""),
+    "snapshot_diff_hot_key": """
+WITH l AS (SELECT l_returnflag AS k, l_orderkey AS v, l_linestatus AS s FROM lineitem),
+sav AS (SELECT k, v FROM l WHERE s = 'F'),
+cur AS (SELECT k, v * 2 AS v FROM l),
+extra AS (
+  SELECT k, v, 1 AS side, count(*) AS n FROM (SELECT * FROM sav EXCEPT ALL SELECT * FROM cur) GROUP BY ALL
+  UNION ALL
+  SELECT k, v, 2, count(*) FROM (SELECT * FROM cur EXCEPT ALL SELECT * FROM sav) GROUP BY ALL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY k, side ORDER BY v) AS i FROM extra)
+SELECT k,
+       CASE WHEN k NOT IN (SELECT k FROM cur) THEN 'missing'
+            WHEN k NOT IN (SELECT k FROM sav) THEN 'unexpected' ELSE 'changed' END AS status,
+       CAST(coalesce(sum(n) FILTER (side = 1), 0) AS BIGINT) AS saved_rows,
+       CAST(coalesce(sum(n) FILTER (side = 2), 0) AS BIGINT) AS current_rows,
+       max(v) FILTER (side = 1) AS saved_v, max(v) FILTER (side = 2) AS current_v
+FROM nth GROUP BY k, i""",
     "snapshot_diff_ignore": _with(
         f"""
 SELECT coalesce(c.month, s.month) AS month, coalesce(c.pct, s.pct) AS pct, {STATUS},

@@ -21,7 +21,7 @@ from areashare.functions.scalars import (
     scale_clamp,
 )
 from areashare.functions.sql import register_sql_functions
-from areashare.operators import bands, sketches, snapshot, views
+from areashare.operators import bands, digests, sketches, snapshot, views
 from areashare.operators.measure import ShareMeasure
 from areashare.plans.report import share_report
 from areashare.sources import staging
@@ -366,6 +366,28 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
     def snapshot_diff(spark, d):
         return snapshot.snapshot_diff(*two_snapshots(spark, d), keys=["month", "pct"])
 
+    @query("snapshot_digest_diff")
+    def snapshot_digest_diff(spark, d):
+        return digests.digest_diff(*two_snapshots(spark, d), keys=["month", "pct"])
+
+    @query("snapshot_digest_same")
+    def snapshot_digest_same(spark, d):
+        # The measure as kept against one built anew, but for one area: only its buckets are compared.
+        built = measure_from_tables(spark, d)
+        changed = F.when(F.col("pct") == 7, F.col("doacs") + 1).otherwise(F.col("doacs"))
+        return digests.digest_diff(
+            built.withColumn("doacs", changed), kept(spark, d), keys=["pct"], ignore_columns=["perc_doacs"]
+        )
+
+    @query("snapshot_diff_hot_key")
+    def snapshot_diff_hot_key(spark, d):
+        # Lines under three flags: every key is hot, and is numbered slice by slice.
+        lines = staging.table(spark, d, "lineitem")
+        rows = lines.select(F.col("l_returnflag").alias("k"), F.col("l_orderkey").alias("v"), "l_linestatus")
+        saved = rows.where("l_linestatus = 'F'").select("k", "v")
+        current = rows.select("k", (F.col("v") * 2).alias("v"))
+        return snapshot.snapshot_diff(current, saved, keys=["k"], slice_rows=1000)
+
     @query("snapshot_diff_ignore")
     def snapshot_diff_ignore(spark, d):
         return snapshot.snapshot_diff(

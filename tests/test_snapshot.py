@@ -1,16 +1,20 @@
 import pytest
-from helpers import rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from areashare.operators import (
     TextRule,
     assert_snapshot,
+    bucket_digests,
     compare_texts,
+    differing_buckets,
+    digest_diff,
     load_rules,
     sanitise_text,
     snapshot_diff,
     snapshot_except_all,
 )
+from areashare.operators.digests import bucket_of
 
 SCHEMA = "k string, v double, note string"
 NAN = float("nan")
@@ -158,3 +162,76 @@ def test_assert_snapshot(current, saved):
         assert_snapshot(saved, saved, ["k"], ignore_where="true")
     with pytest.raises(AssertionError, match="5 unexpected"):
         assert_snapshot(saved, saved.limit(0), ["k"])
+
+
+def as_rows(df):
+    return rows(df.select(*sorted(df.columns)))
+
+
+def test_a_hot_key_is_numbered_in_slices(spark):
+    """A third of the differing rows and more under one key: dealt out, with the same rows."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("hot")).otherwise(
+        F.concat(F.lit("k"), F.col("id") % 50)
+    )
+    table = spark.range(3000).select(hot.cast("string").alias("k"), (F.col("id") % 700).cast("double").alias("v"), "id")
+    saved = table.where("id % 7 < 6").drop("id")
+    current = table.where("id % 11 < 10").withColumn("v", F.when(F.col("id") % 2 == 0, F.col("v")).otherwise(F.col("v") + 0.5)).drop("id")
+    plain = as_rows(snapshot_diff(current, saved, ["k"]))
+    assert len(plain) > 1000
+    assert as_rows(snapshot_diff(current, saved, ["k"], slice_rows=16)) == plain
+
+
+def test_slices_spread_a_key_over_tasks(spark):
+    from areashare.operators.snapshot import _numbered
+
+    rows_ = spark.range(4000).select(F.lit("hot").alias("k"), (-F.col("id")).alias("v"))
+    found = _numbered(rows_, ["k"], "v", 100)
+    assert [(r.v, r["__nth"]) for r in found.orderBy("v").collect()] == [(v - 3999, v + 1) for v in range(4000)]
+    cut = [line for line in plan(found).splitlines() if "hashpartitioning" in line]
+    # The rows' window is dealt by key and slice; only the slices' counts by key alone.
+    assert any("__slice" in line for line in cut)
+
+
+def test_digests_first(spark, current, saved):
+    for buckets in (1, 3, 4096):
+        found = digest_diff(current, saved, ["k"], buckets=buckets)
+        assert as_rows(found) == as_rows(snapshot_diff(current, saved, ["k"]))
+    assert digest_diff(saved, saved, ["k"]).isEmpty()
+    assert digest_diff(saved.limit(0), saved.limit(0), ["k"]).isEmpty()
+    found = digest_diff(current, saved, ["k"], ignore_columns=["note"], ignore_where="k = 'd'")
+    assert as_rows(found) == as_rows(snapshot_diff(current, saved, ["k"], ignore_columns=["note"], ignore_where="k = 'd'"))
+    with pytest.raises(ValueError, match="columns differ"):
+        digest_diff(saved.drop("v"), saved, ["k"])
+
+
+def test_digests_are_of_bags(spark):
+    one = table(spark, ("a", 1.0, "x"), ("a", 1.0, "x"), ("b", -0.0, None), ("c", NAN, "y"))
+    same = table(spark, ("c", float("nan"), "y"), ("a", 1.0, "x"), ("b", 0.0, None), ("a", 1.0, "x"))
+    digests = [bucket_digests(df, ["k"], 8) for df in (one, same.select("note", "v", "k"))]
+    assert differing_buckets(*digests).isEmpty()
+    fewer = bucket_digests(one.distinct(), ["k"], 8)
+    assert differing_buckets(digests[0], fewer).count() == 1
+    # NULLs and values that swap columns are not the same.
+    left = spark.createDataFrame([("a", None, "x")], "k string, v string, w string")
+    right = spark.createDataFrame([("a", "x", None)], "k string, v string, w string")
+    assert differing_buckets(*[bucket_digests(df, ["k"]) for df in (left, right)]).count() == 1
+
+
+def test_one_changed_row_moves_one_bucket(spark):
+    saved = spark.range(20_000).selectExpr("id AS k", "CAST(id % 7 AS double) AS v")
+    current = saved.withColumn("v", F.when(F.col("k") == 123, F.lit(99.0)).otherwise(F.col("v")))
+    digests = [bucket_digests(df, ["k"]) for df in (current, saved)]
+    (bucket,) = differing_buckets(*digests).collect()
+    moved = saved.where(bucket_of(["k"]) == bucket[0]).count()
+    assert 0 < moved < 30
+    assert rows(digest_diff(current, saved, ["k"])) == [(123, "changed", 1, 1, 4.0, 99.0)]
+    # The partial sums are all that is shuffled for digests: a row per task and bucket.
+    assert "partial_sum" in plan(digests[0])
+
+
+def test_kept_digests_stand_for_the_saved_table(spark, current, saved):
+    kept = bucket_digests(saved, ["k"])
+    found = digest_diff(current, saved, ["k"], saved_digests=kept)
+    assert as_rows(found) == as_rows(snapshot_diff(current, saved, ["k"]))
+    unread = saved.withColumn("v", F.raise_error(F.lit("read")).cast("double"))
+    assert digest_diff(saved, unread, ["k"], saved_digests=kept).isEmpty()
