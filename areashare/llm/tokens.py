@@ -8,27 +8,41 @@ white space. So the ids of a text are those of its words, one after the other.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words kept per worker; past that, those not met twice since the last time go.
 KEPT_WORDS = 500_000
 # Bytes of text encoded at a time, one longer text apart.
 SLICE_BYTES = 1 << 20
 # What special tokens begin with, which are found in a text as it stands.
-SPECIAL = b"<|"
+SPECIAL = "<|"
 # Stands between words that are encoded together; has an id of its own as a word.
 BETWEEN = "\u2605"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, in lower case as far as ASCII goes, as the tokenizer has it too."""
-    return (text if SPECIAL in text else text.lower()).split()
+def split_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of the texts, in lower case as far as ASCII goes, as the tokenizer has it too, each
+    distinct word once; and how many words each text has."""
+    column = pa.array(texts, pa.binary()).cast(pa.string())
+    lower = pc.ascii_lower(column)
+    # A piece of letters ends at a mark in any case: one word less for each of its endings.
+    lower = pc.replace_substring_regex(lower, r"([a-z])([.,;:!?]+\s)", r"\1 \2")
+    special = pc.match_substring(column, SPECIAL)
+    if pc.any(special).as_py():
+        lower = pc.if_else(special, column, lower)
+    lists = pc.ascii_split_whitespace(lower)
+    words = lists.flatten()
+    # White space at the ends leaves empty words there.
+    real = pc.not_equal(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    offsets = lists.offsets.to_numpy()
+    return words.filter(real).dictionary_encode(), np.diff(upto[offsets - offsets[0]])
 
 
 class _Numbers(dict):
@@ -76,7 +90,7 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Encode words in one go, which costs half of encoding them one by one."""
         texts = [word.decode() for word in words]
-        odd = [i for i, text in enumerate(texts) if BETWEEN in text or "<|" in text]
+        odd = [i for i, text in enumerate(texts) if BETWEEN in text or SPECIAL in text]
         alone = dict(zip(odd, self._ids([texts[i] for i in odd])))
         for i in odd:
             texts[i] = ""
@@ -98,10 +112,10 @@ class WordEncoder:
         """All ids in one array, each text closed by ``end_id``, and where each text ends."""
         if len(self.number) > KEPT_WORDS:
             self._forget()
-        split = [words_of(text) for text in texts]
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        words = itertools.chain.from_iterable(split)
-        slots = np.fromiter(map(self.number.__getitem__, words), np.int64, int(n_words.sum()))
+        words, n_words = split_words(texts)
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        slots = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        slots = slots[words.indices.to_numpy()]
         if self.number.fresh:
             self._learn(self.number.fresh)
             self.number.fresh = []
