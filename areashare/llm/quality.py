@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areashare.llm.key_filter import key_filter, thinned
 from areashare.llm.tokens import as_bytes, slices
 
 BUCKETS = 1 << 16
@@ -38,36 +39,37 @@ def ngram_buckets(text: bytes) -> np.ndarray:
     return ((key * np.uint32(2654435769)) >> np.uint32(16)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for text, good in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-            counts = np.bincount(ngram_buckets(text), minlength=BUCKETS)
-            raw += counts
-            if good:
-                target += counts
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used), pa.array(raw[used]), pa.array(target[used])],
-        names=["bucket", "raw", "target"],
-    )
+def _counts(texts: DataFrame, name: str) -> np.ndarray:
+    """How often each bucket occurs. Each task adds up its own; a row per bucket reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in as_bytes(batch.column("text")):
+                total += np.bincount(ngram_buckets(text), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", name])
+
+    counted = texts.mapInArrow(count, f"bucket bigint, {name} bigint")
+    total = np.zeros(BUCKETS)
+    for row in counted.groupBy("bucket").agg(F.sum(name).alias(name)).collect():
+        total[row.bucket] = row[name]
+    return total
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Per bucket the log-likelihood ratio of the trusted against the raw multinomial.
 
-    The raw counts are of all documents, the trusted ones of all that ``trusted`` names. Each task adds up
-    its own; what reaches the driver is a row per bucket.
+    The raw counts are of all documents, straight from the scan; the trusted ones of all that ``trusted``
+    names. Of the texts only those that a filter of fixed size lets by are shuffled to meet the trusted ids.
     """
     ids = trusted.select(F.col("doc_id").cast("bigint").alias("_id")).where("_id IS NOT NULL").distinct()
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    text = text.join(ids, F.col("doc_id") == F.col("_id"), "left")
-    counts = text.select("text", F.col("_id").isNotNull().alias("good"))
-    counts = counts.mapInArrow(_count, "bucket bigint, raw bigint, target bigint")
-    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in counts.collect():
-        raw[row.bucket], target[row.bucket] = row.raw, row.target
+    held = key_filter(ids.select(F.xxhash64("_id").alias("key")))
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    likely = thinned(text.withColumn("key", F.xxhash64("doc_id")), "key", held)
+    # One plan at every size.
+    good = likely.join(ids.hint("merge"), F.col("doc_id") == F.col("_id")).select("text")
+    raw, target = _counts(docs.select("text"), "raw"), _counts(good, "target")
     if not target.any():
         return np.zeros(BUCKETS)
     # Buckets the trusted text lacks are smoothed with the raw shares, not evenly: rare is not bad.
