@@ -22,6 +22,8 @@ from areashare.operators.views import (
     national_rollup,
     ordered,
     panel,
+    read_panels,
+    replace_panels,
     write_panels,
 )
 
@@ -51,6 +53,8 @@ __all__ = [
     "percentile_sketches",
     "rank_bound",
     "rank_errors",
+    "read_panels",
+    "replace_panels",
     "require_unique",
     "sanitise",
     "sanitise_text",

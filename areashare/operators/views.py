@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areashare.functions.scalars import missing_to_null, period_label, scale_clamp
@@ -84,3 +84,14 @@ def area_layer(
 def write_panels(layer: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per panel."""
     layer.write.mode(mode).partitionBy("panel").parquet(path)
+
+
+def replace_panels(layer: DataFrame, path: str) -> None:
+    """Rewrite the panels that ``layer`` holds, and leave the folders of all others as they are."""
+    layer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("panel").parquet(path)
+
+
+def read_panels(spark: SparkSession, path: str, *panels: str) -> DataFrame:
+    """The layer as written; of some panels only, their folders alone are read."""
+    layer = spark.read.parquet(path).withColumn("panel", F.col("panel").cast("string"))
+    return layer.where(F.col("panel").isin(*panels)) if panels else layer

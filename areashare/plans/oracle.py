@@ -250,6 +250,23 @@ SELECT l_orderkey, l_partkey,
             WHEN 'R' THEN 'one' || chr(10) || 'two\n' || l_linestatus ELSE '\N' END AS odd,
        l_shipdate + INTERVAL 123456 MICROSECONDS AS moment
 FROM lineitem""",
+    "panel_files": _with(
+        f"""
+SELECT code, CASE WHEN is_london THEN 'london' ELSE 'rest' END AS panel, perc_doacs,
+       CASE WHEN perc_doacs IS NULL THEN NULL WHEN is_london THEN round(perc_doacs / 100.0, 9)
+            ELSE {SHADE} END AS shade
+FROM (SELECT * FROM areas WHERE org_type = 'CCG') LEFT JOIN latest ON code = pct""",
+        f"latest AS ({LATEST})",
+    ),
+    "text_accepted": """
+SELECT l_orderkey AS "order", l_partkey AS part, CAST(l_quantity AS BIGINT) AS quantity
+FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0""",
+    "text_rejected": """
+SELECT CASE WHEN l_orderkey % 11 = 0 THEN l_orderkey || ',' || l_partkey
+            ELSE l_orderkey || ',' || l_partkey || ',n/a' END AS row,
+       CASE WHEN l_orderkey % 11 = 0 THEN 'another number of fields'
+            ELSE 'quantity is no bigint: n/a' END AS reason
+FROM lineitem WHERE l_orderkey % 7 = 0 OR l_orderkey % 11 = 0""",
     "report_trend": _with("""
 SELECT month, CAST(sum(coalesce(doacs, 0)) AS BIGINT) AS doacs,
        round(quantile_cont(perc_doacs, 0.5), 6) AS median

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areashare.functions.codes import CodeSet, code_prefix
 from areashare.functions.scalars import (
@@ -28,7 +29,7 @@ from areashare.sources import staging
 from areashare.sources.cache import ResultCache
 from areashare.sources.partials import PartialSums
 from areashare.sources.storage import scratch_table, shared_folder
-from areashare.sources.text import read_own_text, write_text_table
+from areashare.sources.text import read_own_text, read_text_parts, write_text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,6 +347,17 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
         flag = views.panel(F.col("is_london"))
         return areas(spark, d).select("code", "name", flag.alias("panel"))
 
+    @query("panel_files")
+    def panel_files(spark, d):
+        # Both panels are written, then one is rewritten for other scales and read with the other.
+        layer = views.area_layer(share.members(areas(spark, d)), kept(spark, d), *SCALE)
+        path = f"{shared_folder(spark)}/areashare/panels-{uuid.uuid4().hex}"
+        views.write_panels(layer, path)
+        wider = views.area_layer(share.members(areas(spark, d)), kept(spark, d), 0, 100)
+        views.replace_panels(wider.where("panel = 'london'"), path)
+        found = views.read_panels(spark, path, "london", "rest")
+        return found.select("code", "panel", "perc_doacs", F.round("shade", 9).alias("shade"))
+
     # Regression checks
 
     @query("sanitise_text")
@@ -445,6 +457,28 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
         write_text_table(table, path)
         return read_own_text(spark, path, table.schema)
 
+    def text_parts(spark, d):
+        # Order lines as text of others: some quantities are no numbers, some lines lack a field.
+        lines = staging.table(spark, d, "lineitem")
+        quantity = F.when(F.col("l_orderkey") % 7 == 0, "n/a").otherwise(
+            F.col("l_quantity").cast("bigint").cast("string")
+        )
+        fields = F.concat_ws(",", "l_orderkey", "l_partkey", quantity)
+        short = F.concat_ws(",", "l_orderkey", "l_partkey")
+        text = F.when(F.col("l_orderkey") % 11 == 0, short).otherwise(fields)
+        path = f"{shared_folder(spark)}/areashare/delivered-{uuid.uuid4().hex}"
+        lines.select(text.alias("line")).write.text(path)
+        types = ("order", T.LongType()), ("part", T.LongType()), ("quantity", T.LongType())
+        return read_text_parts(spark, path, T.StructType([T.StructField(*f) for f in types]), header=False)
+
+    @query("text_accepted")
+    def text_accepted(spark, d):
+        return text_parts(spark, d)[0]
+
+    @query("text_rejected")
+    def text_rejected(spark, d):
+        return text_parts(spark, d)[1].drop("file")
+
     @query("report_trend")
     def report_trend(spark, d):
         # The whole report: its trend beside the middle of its bands.

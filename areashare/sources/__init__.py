@@ -7,7 +7,7 @@ from areashare.sources.tables import (
     read_areas,
     read_prescribing,
 )
-from areashare.sources.text import read_own_text, read_text_table, write_text_table
+from areashare.sources.text import read_own_text, read_text_parts, read_text_table, write_text_table
 
 __all__ = [
     "AREA_SCHEMA",
@@ -19,6 +19,7 @@ __all__ = [
     "read_areas",
     "read_own_text",
     "read_prescribing",
+    "read_text_parts",
     "read_text_table",
     "scratch_table",
     "shared_folder",

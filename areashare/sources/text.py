@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from areashare.sources.storage import scratch_table
+
 # Codes such as '0E1' or ' 12' must come back as the text they were, hence no
 # type inference and no trimming.
 TEXT_OPTIONS = {
@@ -84,3 +86,42 @@ def read_text_table(
         .option("multiLine", str(multiline).lower())
         .csv(path)
     )
+
+
+REJECTED = "__row"
+
+
+def read_text_parts(
+    spark: SparkSession, path: str, schema: T.StructType, *, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Text of others as two tables: the rows that fit the declared types, and the rejected ones.
+
+    A rejected row is given as ``file``, ``row`` (its text) and ``reason``: which values do not fit which types, or
+    that the number of fields is another one. Each line is in exactly one of the two tables. Files can be
+    split between tasks, so rows have no line numbers. The text is parsed once, into a table in the
+    shared folder that both are read from.
+    """
+    with_row = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])
+    options = READ_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED}
+    options["header"] = str(header).lower()
+    rows = spark.read.schema(with_row).options(**options).csv(path)
+    rows = scratch_table(rows.select("*", F.col("_metadata.file_path").alias("__file")), "parsed")
+    row = F.col(REJECTED)
+    # The rejected line once more, as texts: a value that is there but got lost does not fit.
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+    again = {k: v for k, v in READ_OPTIONS.items() if k != "header"}
+    raw = F.from_csv(row, texts.simpleString()[len("struct<") : -1].replace(":", " "), again)
+    odd = [
+        F.when(
+            raw[f.name].isNotNull() & F.col(f"`{f.name}`").isNull(),
+            F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), raw[f.name]),
+        )
+        for f in schema
+    ]
+    reason = F.concat_ws("; ", *odd)
+    rejected = rows.where(row.isNotNull()).select(
+        F.col("__file").alias("file"),
+        row.alias("row"),
+        F.when(reason == "", "another number of fields").otherwise(reason).alias("reason"),
+    )
+    return rows.where(row.isNull()).select(*schema.names), rejected
