@@ -1,13 +1,17 @@
 """The operators that run Python inside tasks, against brute force."""
 
 import collections
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import assume, given, settings
+from hypothesis import strategies as st
 
 from areashare.llm import html_text, packing, quality, secrets, simhash, token_files, tokens, toxicity
 from areashare.llm.automaton import RuleSet
@@ -219,6 +223,94 @@ def test_nothing_of_an_article_in_parts_is_lost():
     assert html_text.main_text(articles) == whole
 
 
+WORDS = "with a good many words of content in it, as an article has them"
+STORY = "".join(f"<p>Paragraph {i} {WORDS}.</p>" for i in range(6))
+ARTICLE = f"<article><h1>Title</h1>{STORY}</article>"
+MENU = "<nav><a href=a>Menu</a><a href=b>Home</a></nav>"
+TEXT = "\n".join(["Title", *(f"Paragraph {i} {WORDS}." for i in range(6))])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta name=a><body>{MENU}{ARTICLE}</body></html>",
+        f"<head><title>T</title>{MENU}{ARTICLE}",
+        f"<body><form action=x>{MENU}{ARTICLE}<input></form></body>",
+        f'<body><div class="layout has-sidebar">{MENU}{ARTICLE}</div></body>',
+        f'<body><div class="post no-comments">{MENU}{ARTICLE}</div></body>',
+        f"<body><button>Open{MENU}{ARTICLE}</body>",
+        f"<body><button><div>Open</div></button>{MENU}{ARTICLE}</body>",
+        f"<body>{MENU}{ARTICLE}<section><article><a href=x><b>Other story</b></a><p>Read <a>on</a></article></section>",
+        f'<body>{ARTICLE}<div class="comment-thread">{STORY}</div><div class="ad-slot">{STORY}</div></body>',
+        f"<body>{MENU}<main><h1>Title</h1>{STORY}</main><footer>{STORY}</footer></body>",
+        f"<body>{MENU}<form><div><h1>Title</h1>{STORY}</div><input></form></body>",
+    ],
+)
+def test_the_article_alone(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_doubtful_names_are_left_to_the_ratios():
+    inside = f'<article><h1>Title</h1><div class="social-history">{STORY}</div><p class="share-price">Up {WORDS}.</p></article>'
+    assert html_text.main_text(inside) == f"{TEXT}\nUp {WORDS}."
+    links = "".join(f"<li><a href=x><b>L{i}</b></a>" for i in range(9))
+    low = f'<body><article><h1>Title</h1>{STORY}<div class="share-price"><ul>{links}</ul></div></article></body>'
+    assert html_text.main_text(low) == TEXT
+
+
+def test_skipped_elements_do_not_split_a_block():
+    assert html_text.main_text("<p>One <script>var a;</script>two <button>Go</button>three</p>") == "One two three"
+
+
+def test_deep_pages_take_linear_time():
+    n = 50_000
+    for page in ("<div>x" * n, "<b>" * n + "<p>x</p></i>" * n, "<article><section class=social-history>y" * (n // 2)):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 4
+
+
+def plain_smooth(ratios):
+    """Weighted means over two neighbours on each side, by the definition."""
+    found = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-0.5 * (j - i) ** 2), ratios[j]) for j in range(len(ratios)) if abs(j - i) <= 2]
+        found.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    return found
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 200), st.integers(0, 9), st.integers(0, 6)), min_size=1, max_size=30), st.data())
+def test_smoothing_and_choice_against_brute_force(sizes, data):
+    """The innermost region around all content lines, over random trees of regions."""
+    parents = [data.draw(st.integers(-1, i - 1)) for i in range(7)]
+    # Number the tree as a page would, in order of opening.
+    order, todo = [], [i for i in reversed(range(7)) if parents[i] < 0]
+    while todo:
+        order.append(todo.pop())
+        todo.extend(i for i in reversed(range(7)) if parents[i] == order[-1])
+    number = {node: i for i, node in enumerate(order)}
+    up = {number[n]: number.get(parents[n]) for n in order}
+    regions = [html_text.Region("div", up[i], None, None) for i in range(7)]
+    lines = [html_text.Line("x" * n, tags, r, None) for n, tags, r in sizes]
+
+    def around(r):
+        return [] if r is None else [r, *around(up[r])]
+
+    ratios = [n / max(1, tags) for n, tags, _ in sizes]
+    smoothed = plain_smooth(ratios)
+    mean = sum(smoothed) / len(smoothed)
+    limit = min(0.5 * math.sqrt(sum((v - mean) ** 2 for v in smoothed) / len(smoothed)), max(smoothed))
+    near = [min(abs(v - limit) for v in values) for values in (smoothed, ratios)]
+    assume(min(near) > 1e-9)
+    content = [s >= limit for s in smoothed]
+    strong = [c and r >= limit for c, r in zip(content, ratios)]
+    picked = [around(r) for (_, _, r), c in zip(sizes, strong if any(strong) else content) if c]
+    common = [r for r in picked[0] if all(r in other for other in picked)]
+    expected = [line for line in lines if common[0] in around(line.region)] if common else lines
+    assert html_text.main_lines(lines, regions) == expected
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>unclosed <b>text", 3), (3, "u", "<p>unclosed <b>text", 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
