@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ SEGMENTS = 2
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
+# Fingerprints under one value of a segment beyond which its keys get further bits.
+CROWD = 64
 # Shingle hashes whose bits are counted at a time.
 COUNTED = 1 << 15
 
@@ -57,36 +60,83 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return text.mapInArrow(_fingerprints(shingle, seed), "doc_id bigint, bits bigint")
 
 
-def _segment_balls(bits: Column) -> Column:
-    """Index keys of a fingerprint: per segment, its values within one bit, the rest unchanged."""
-    width = BITS // SEGMENTS
-    flips = [F.lit(0).cast("bigint")]
-    for segment in range(SEGMENTS):
-        for bit in range(segment * width, (segment + 1) * width):
-            value = 1 << bit
-            flips.append(F.lit(value - (1 << BITS) if value >> (BITS - 1) else value).cast("bigint"))
-    return F.array(*[bits.bitwiseXOR(flip) for flip in flips])
+def _long(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("bigint")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, that connect all fingerprints within two bits of each other.
+def _whole(bits: Iterable[int]) -> int:
+    return sum(1 << b for b in bits)
 
-    Two fingerprints differ by at most two bits exactly when changing at most one bit of a segment
-    in each can make them equal: for two bits in different segments, one changes its
-    first and the other its second segment. So every fingerprint is entered in the index
-    under the ball of radius one of each segment, together with its other segment, and a key's
-    matches are within two bits of each other. A key has at most 65 distinct matches, however
-    many copies there are; each is tied to the smallest of them after its full distance is
-    checked.
+
+def _changes(bits: Iterable[int], radius: int) -> list[int]:
+    """Every change of at most ``radius`` of ``bits``, none first."""
+    bits = list(bits)
+    return [_whole(some) for k in range(radius + 1) for some in itertools.combinations(bits, k)]
+
+
+def _segments(segments: int) -> list[range]:
+    """The bits of each segment."""
+    cuts = [BITS * i // segments for i in range(segments + 1)]
+    return [range(begin, end) for begin, end in zip(cuts, cuts[1:])]
+
+
+def _places(segments: int, radius: int) -> Column:
+    """Where to look: each segment's number and the values in the ball around its own value.
+
+    Of two values that differ one alone has the highest of the differing bits, and that one looks for the
+    other; the other's change is null.
     """
-    # Each row becomes 65: few files of fingerprints are much work.
+    places = []
+    for number, bits in enumerate(_segments(segments)):
+        own = F.col("bits").bitwiseAND(_long(_whole(bits)))
+        for change in _changes(bits, radius):
+            highest = _long(1 << change.bit_length() >> 1)
+            value = own.bitwiseXOR(_long(change))
+            value = F.when(own.bitwiseAND(highest) != 0, value) if change else value
+            places.append(F.struct(F.lit(number).cast("tinyint").alias("segment"), value.alias("value")))
+    return F.array(*places)
+
+
+def _further(segments: int) -> Column:
+    """Further keys under a crowded value: the ball of half the distance around the bits outside of the segment."""
+    keys = F.array(_long(0))
+    for number, bits in enumerate(_segments(segments)):
+        outside = [b for b in range(BITS) if b not in bits]
+        rest = F.col("bits").bitwiseAND(_long(_whole(outside)))
+        ball = F.array(*[rest.bitwiseXOR(_long(c)) for c in _changes(outside, (DISTANCE + 1) // 2)])
+        keys = F.when(F.col("crowded") & (F.col("segment") == number), ball).otherwise(keys)
+    return keys
+
+
+def candidates(distinct: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u, v), u > v, of fingerprints that the index brings together, some several times.
+
+    Each fingerprint is entered once in each segment's table, under its value there, and looks in each table under all
+    values within ``DISTANCE // segments`` bits: of two within ``DISTANCE`` bits, one segment differs by no
+    more than that. Where a value has more than ``crowd`` fingerprints, both sides add further keys, the ball of half
+    the distance around the other bits, which two within the distance share; so what a key brings together
+    is bounded, and whoever looks meets at most ``crowd`` under any other value.
+    """
+    # Each row becomes many: few files of fingerprints are much work.
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.repartition(n, "bits")
-    keys = spread.select("bits", F.explode(_segment_balls(F.col("bits"))).alias("key"))
-    matches = keys.groupBy("key").agg(F.collect_set("bits").alias("found")).where(F.size("found") > 1)
-    tied = matches.select(F.explode("found").alias("u"), F.array_min("found").alias("v"))
+    spread = distinct.select("bits").repartition(n, "bits")
+    entries = spread.select("bits", F.inline(_places(segments, 0)))
+    looks = spread.select("bits", F.inline(_places(segments, DISTANCE // segments))).where("value is not null")
+    crowded = entries.groupBy("segment", "value").count().where(F.col("count") > crowd)
+    crowded = scratch_table(crowded.select("segment", "value", F.lit(True).alias("crowded")), "crowded")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        marked = rows.join(crowded, ["segment", "value"], "left")
+        return marked.select("segment", "value", F.explode(_further(segments)).alias("rest"), F.col("bits").alias(name))
+
+    met = keyed(looks, "a").join(keyed(entries, "b"), ["segment", "value", "rest"]).where("a != b")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
+def links(distinct: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """All links (u, v), u > v, of fingerprints within two bits of each other: candidates whose whole distance is."""
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE
-    return tied.where((F.col("u") != F.col("v")) & near).distinct()
+    return candidates(distinct, segments, crowd).where(near).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -408,6 +408,30 @@ def test_links_and_components(spark):
             assert (roots[signed[i]] == roots[signed[j]]) == (expected[i] == expected[j])
 
 
+def test_simhash_links_at_any_number_of_segments(spark):
+    """Keys and candidates change with the segments and with crowded values, the links do not."""
+    rng = random.Random(11)
+    prints = {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1}
+    for p in list(prints)[:40]:
+        prints.add(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+        prints.add(p ^ rng.getrandbits(32))  # the same upper half, mostly far apart
+        prints.add(p ^ rng.getrandbits(32) << 32)
+    one = rng.getrandbits(64)
+    prints |= {one ^ (1 << i) ^ (1 << j) for i in range(0, 64, 9) for j in range(0, 64, 7)}
+    expected = {(a, b) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    expected = {(signed(a), signed(b)) for a, b in expected if signed(a) > signed(b)}
+    table = spark.createDataFrame([(signed(p),) for p in prints], "bits bigint").cache()
+    met = {}
+    for segments, crowd in ((2, simhash.CROWD), (2, 1), (3, simhash.CROWD), (3, 2), (4, 3)):
+        found = simhash.links(table, segments, crowd).collect()
+        assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+        met[segments, crowd] = simhash.candidates(table, segments, crowd).distinct().count()
+    # The whole distance rejects candidates, and further keys leave fewer to reject.
+    assert met[2, simhash.CROWD] > met[2, 1] > len(expected)
+    assert len(set(met.values())) > 2
+
+
 def test_simhash_groups(spark):
     rng = random.Random(9)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "oNE"), (6, "one two"), (6, "one two"), (None, "ONE")]
