@@ -14,6 +14,7 @@ from areashare.operators.snapshot import (
     snapshot_diff,
     snapshot_except_all,
 )
+from areashare.operators.tolerance import within_tolerance
 from areashare.operators.views import (
     area_layer,
     latest_label,
@@ -61,5 +62,6 @@ __all__ = [
     "sketch_bands",
     "snapshot_diff",
     "snapshot_except_all",
+    "within_tolerance",
     "write_panels",
 ]

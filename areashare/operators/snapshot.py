@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import configparser
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areashare.operators.tolerance import within_tolerance
 from areashare.sources.storage import scratch_table
 
 
@@ -140,6 +141,7 @@ def snapshot_diff(
     *,
     ignore_columns: Sequence[str] = (),
     ignore_where: Column | str | None = None,
+    tolerance: Mapping[str, float] | None = None,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every row that one side has over the other: its key's ``status`` and the values.
@@ -149,9 +151,14 @@ def snapshot_diff(
     their values; ``saved_rows`` and ``current_rows`` count how often they are left over. So a
     key that does not repeat gives one row. Only rows that differ are grouped by key, and only
     their keys are looked up for rows that do not. They are written to the shared folder once.
+    With ``tolerance``, a greatest difference by column, rows that match within it do not differ.
     """
     skipped = {"ignore_columns": ignore_columns, "ignore_where": ignore_where}
     unmatched = scratch_table(snapshot_except_all(current, saved, **skipped), "unmatched")
+    if tolerance:
+        if set(tolerance) & set(keys):
+            raise ValueError("a key has no tolerance")
+        unmatched = scratch_table(within_tolerance(unmatched, tolerance), "unmatched")
     values = [c for c in unmatched.columns if c not in {*keys, "saved_rows", "current_rows"}]
     over = F.col("saved_rows") - F.col("current_rows")
     row = F.struct(*values) if values else F.struct(F.lit(None).alias("__none"))
@@ -229,13 +236,14 @@ def assert_snapshot(
     *,
     ignore_columns: Sequence[str] = (),
     ignore_where: Column | str | None = None,
+    tolerance: Mapping[str, float] | None = None,
 ) -> None:
     """Fail when the tables differ, and also when there is nothing to compare."""
     skipped = {"ignore_columns": ignore_columns, "ignore_where": ignore_where}
     left = [_compared(df, (), ignore_where) for df in (current, saved)]
     if all(df.isEmpty() for df in left):
         raise ValueError("nothing to compare: both tables are empty")
-    found = snapshot_diff(current, saved, keys, **skipped).groupBy("status").count().collect()
+    found = snapshot_diff(current, saved, keys, tolerance=tolerance, **skipped).groupBy("status").count().collect()
     if found:
         counts = ", ".join(f"{row['count']} {row.status}" for row in sorted(found))
         raise AssertionError(f"differs from the saved table: {counts}")

@@ -213,6 +213,14 @@ FULL JOIN (SELECT * FROM sav WHERE month >= DATE '1998-01-01') AS s
 WHERE c.doacs IS DISTINCT FROM s.doacs""",
         *SNAPSHOTS,
     ),
+    "snapshot_diff_tolerance": _with("""
+SELECT s.month, s.pct, 'changed' AS status, CAST(1 AS BIGINT) AS saved_rows, CAST(1 AS BIGINT) AS current_rows,
+       s.doacs AS saved_doacs, s.perc_doacs AS saved_perc_doacs,
+       c.doacs AS current_doacs, c.perc_doacs AS current_perc_doacs
+FROM measure AS s JOIN (
+  SELECT month, pct, doacs, perc_doacs + CASE WHEN pct % 10 = 3 THEN 1e-3 ELSE 1e-10 END AS perc_doacs
+  FROM measure) AS c ON s.month = c.month AND s.pct = c.pct
+WHERE NOT abs(s.perc_doacs - c.perc_doacs) <= 1e-9"""),
     "snapshot_except_all": _with(
         """
 SELECT month, pct, doacs, perc_doacs, CAST(sum(s) AS BIGINT) AS saved_rows,

@@ -409,6 +409,15 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             ignore_where=F.col("month") < F.lit(datetime.date(1998, 1, 1)),
         )
 
+    @query("snapshot_diff_tolerance")
+    def snapshot_diff_tolerance(spark, d):
+        # Shares that differ by rounding, and in some areas by more.
+        share = F.col("perc_doacs") + F.when(F.col("pct") % 10 == 3, 1e-3).otherwise(1e-10)
+        current = kept(spark, d).withColumn("perc_doacs", share)
+        return snapshot.snapshot_diff(
+            current, kept(spark, d), keys=["month", "pct"], tolerance={"perc_doacs": 1e-9}
+        )
+
     @query("snapshot_except_all")
     def snapshot_except_all(spark, d):
         return snapshot.snapshot_except_all(*two_snapshots(spark, d))
