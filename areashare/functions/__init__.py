@@ -1,4 +1,5 @@
 from areashare.functions.codes import CodeSet, code_prefix
+from areashare.functions.prefixes import PrefixSet
 from areashare.functions.scalars import (
     as_percent,
     case_items,
@@ -13,6 +14,7 @@ from areashare.functions.sql import register_sql_functions
 
 __all__ = [
     "CodeSet",
+    "PrefixSet",
     "as_percent",
     "case_items",
     "code_prefix",

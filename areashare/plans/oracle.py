@@ -15,6 +15,7 @@ AREAS = """
 
 IN_NUMERATOR = "substr(bnf_code, 1, 7) IN ('Brand#1', 'Brand#3', 'Brand#4')"
 IN_DENOMINATOR = "substr(bnf_code, 1, 7) IN ('Brand#1', 'Brand#3', 'Brand#4', 'Brand#5')"
+IN_MIXED = "(bnf_code LIKE 'Brand#12%' OR bnf_code LIKE 'Brand#3%' OR bnf_code LIKE 'Brand#55%')"
 SINCE = "month >= TIMESTAMP '1996-01-01 00:00:00'"
 
 
@@ -99,6 +100,14 @@ ORACLE_SQL = {
     "code_set_flag": _with(
         f"SELECT bnf_code, items, CAST({IN_NUMERATOR} AS INTEGER) AS in_numerator FROM rx"
     ),
+    "code_prefix_set": _with(f"SELECT month, pct, bnf_code, items FROM rx WHERE {IN_MIXED}"),
+    "share_measure_prefixes": _with(f"""
+SELECT month, pct, CAST(doacs AS BIGINT) AS doacs,
+       100 * (CAST(doacs AS DOUBLE) / CAST(total AS DOUBLE)) AS perc_doacs
+FROM (SELECT period AS month, pct, sum(CASE WHEN {IN_MIXED} THEN items ELSE 0 END) AS doacs, sum(items) AS total
+      FROM rx JOIN areas ON pct = code
+      WHERE {IN_MIXED} OR substr(bnf_code, 1, 7) IN ('Brand#1', 'Brand#5')
+      GROUP BY period, pct)"""),
     "case_items": _with(
         f"SELECT pct, bnf_code, CASE WHEN {IN_NUMERATOR} THEN items ELSE 0 END AS doacs FROM rx"
     ),

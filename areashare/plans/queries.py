@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areashare.functions.codes import CodeSet, code_prefix
+from areashare.functions.prefixes import PrefixSet
 from areashare.functions.scalars import (
     as_percent,
     case_items,
@@ -35,6 +36,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The brands stand in for drug codes; a prefix of 7 characters groups them.
 NUMERATOR = CodeSet.of("Brand#1", "Brand#3", "Brand#4")
+# Codes of several lengths, far apart.
+MIXED = PrefixSet.of("Brand#12", "Brand#3", "Brand#31", "Brand#55")
 BRAND_SHARE = ShareMeasure(
     numerator=NUMERATOR,
     denominator=NUMERATOR | CodeSet.of("Brand#5"),
@@ -143,6 +146,16 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
         flag = share.numerator.matches(F.col("bnf_code"))
         return rx(spark, d).select("bnf_code", "items", flag.cast("int").alias("in_numerator"))
 
+    @query("code_prefix_set")
+    def code_prefix_set(spark, d):
+        return rx(spark, d).where(MIXED.matches(F.col("bnf_code")))
+
+    @query("share_measure_prefixes")
+    def share_measure_prefixes(spark, d):
+        # A numerator of longer and shorter codes in a denominator of shorter ones.
+        wider = ShareMeasure(numerator=MIXED, denominator=MIXED | PrefixSet.of("Brand#1", "Brand#5"))
+        return wider.build(rx(spark, d), areas(spark, d))
+
     @query("case_items")
     def case_items_rows(spark, d):
         counted = case_items(share.numerator.matches(F.col("bnf_code")), F.col("items"))
