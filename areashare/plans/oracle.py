@@ -146,6 +146,7 @@ FROM sums""",
 WHERE {IN_DENOMINATOR} AND org_type = 'CCG' AND {SINCE}"""
     ),
     "latest_period_rows": _with(LATEST),
+    "latest_rows_footers": _with(LATEST),
     "join_fact_area": _with(
         "SELECT month, pct, bnf_code, items, name, org_type FROM rx JOIN areas ON pct = code"
     ),
@@ -176,6 +177,8 @@ FROM rx GROUP BY period, pct"""
     "percentile_sketches": _within("month"),
     "merged_sketches": _within("CAST(date_trunc('year', month) AS DATE)", "year"),
     "incremental_measure": MEASURE_SQL,
+    "clustered_measure": MEASURE_SQL,
+    "bucketed_measure": MEASURE_SQL,
     "ordered_measure": MEASURE_SQL + " ORDER BY month, pct",
     "ordered_rollup": ROLLUP_SQL + " ORDER BY month",
     "area_panel": _with(

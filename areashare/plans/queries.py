@@ -28,6 +28,8 @@ from areashare.operators.measure import ShareMeasure
 from areashare.plans.report import share_report
 from areashare.sources import staging
 from areashare.sources.cache import ResultCache
+from areashare.sources.footers import latest_rows_in
+from areashare.sources.layout import cell_sums, write_bucketed, write_clustered
 from areashare.sources.partials import PartialSums
 from areashare.sources.storage import scratch_table, shared_folder
 from areashare.sources.text import read_own_text, read_text_parts, write_text_table
@@ -244,6 +246,13 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
     def latest_period_rows(spark, d):
         return views.latest_period_rows(kept(spark, d))
 
+    @query("latest_rows_footers")
+    def latest_rows_footers(spark, d):
+        # The last period comes from the footers, and only its row groups are read.
+        path = f"{shared_folder(spark)}/areashare/measure-{uuid.uuid4().hex}"
+        kept(spark, d).write.parquet(path)
+        return latest_rows_in(spark, path)
+
     # Joins
 
     @query("join_fact_area")
@@ -343,6 +352,25 @@ def build_queries(refresh: bool = False) -> dict[str, Query]:
             store.refresh(spark, f"{path}/facts")
         return store.build(spark, f"{path}/facts", areas(spark, d))
 
+    @query("clustered_measure")
+    def clustered_measure(spark, d):
+        path = f"{shared_folder(spark)}/areashare/clustered-{uuid.uuid4().hex}"
+        write_clustered(rx(spark, d), path)
+        return share.build(spark.read.parquet(path), areas(spark, d))
+
+    @query("bucketed_measure")
+    def bucketed_measure(spark, d):
+        # Sums of the facts and the areas in buckets of the area: neither sums nor join shuffle.
+        names, buckets = {}, 8
+        for table, key, within in (
+            (cell_sums(rx(spark, d)), "pct", ("month", "bnf_code")),
+            (areas(spark, d), "code", ()),
+        ):
+            names[key] = f"areashare_{key}_{uuid.uuid4().hex}"
+            path = f"{shared_folder(spark)}/areashare/buckets/{names[key]}"
+            write_bucketed(table, names[key], path, key, buckets, within)
+        return share.build(spark.table(names["pct"]), spark.table(names["code"]))
+
     # Sorts
 
     @query("ordered_measure")

@@ -1,4 +1,6 @@
 from areashare.sources.cache import ResultCache, cached_read, fingerprint
+from areashare.sources.footers import footer_maximum, latest_in, latest_rows_in
+from areashare.sources.layout import cell_sums, write_bucketed, write_clustered
 from areashare.sources.storage import scratch_table, shared_folder
 from areashare.sources.tables import (
     AREA_SCHEMA,
@@ -15,7 +17,11 @@ __all__ = [
     "PRESCRIBING_SCHEMA",
     "ResultCache",
     "cached_read",
+    "cell_sums",
     "fingerprint",
+    "footer_maximum",
+    "latest_in",
+    "latest_rows_in",
     "read_areas",
     "read_own_text",
     "read_prescribing",
@@ -23,5 +29,7 @@ __all__ = [
     "read_text_table",
     "scratch_table",
     "shared_folder",
+    "write_bucketed",
+    "write_clustered",
     "write_text_table",
 ]
