@@ -5,17 +5,21 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areashare.sources.storage import scratch_table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+# Raking goes through so many rounds at least, and on until no share is further than this from its target, or until
+# the last of them: targets that contradict each other are never met.
 ROUNDS = 6
+DEVIATION = 1e-3
+LAST_ROUND = 60
 SEED = "mix-1"
 # Marginal shares are raised to these powers and rescaled: below 1, large values give way.
 TEMPERATURES = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-# Share of the tokens asked for that rare cells may lack in the pipeline.
+# Share of the tokens asked for that rare cells may lack, in the query and in the pipeline.
 SHORT = 0.01
 # Forms of text, by the first pattern found; the last holds the rest.
 TOPICS = (
@@ -43,12 +47,20 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(words)).cast("bigint")
 
 
+def _with_sums(cells: DataFrame, name: str, value: Column, into: str) -> DataFrame:
+    """``cells`` with the sum of ``value`` over all with the same ``name``.
+
+    Summed before the shuffle and joined back, so that the cells of a common value stay in many tasks.
+    """
+    sums = cells.groupBy(F.col(name).alias("_value")).agg(F.sum(value).alias(into))
+    return cells.join(sums, F.col(name).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def tempered_targets(cells: DataFrame, temperatures: Mapping[str, float]) -> DataFrame:
     """``cells`` with the share of tokens that each dimension's value is to have."""
     sums = cells
     for name in temperatures:
-        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
-        sums = sums.withColumn(f"target_{name}", own)
+        sums = _with_sums(sums, name, F.col("tokens").cast("double"), f"target_{name}")
     parts = {
         name: F.pow(F.col(f"target_{name}"), F.lit(power)) for name, power in temperatures.items()
     }
@@ -74,20 +86,49 @@ def given_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFra
     return cells
 
 
-def rake(cells: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
+def marginals(raked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per dimension and value its target and the share of the tokens that the weights give it, both of 1.
+
+    ``weight`` may be a probability as well: then these are the shares to expect of the sample.
+    """
+    asked = F.col("tokens") * F.col("weight")
+    total = raked.agg(F.sum(asked).alias("total"))
+    per_value = [
+        raked.groupBy(F.lit(name).alias("dimension"), F.col(name).alias("value")).agg(
+            F.max(f"target_{name}").alias("target"), F.sum(asked).alias("held")
+        )
+        for name in names
+    ]
+    reached = F.when(F.col("total") > 0, F.col("held") / F.col("total")).otherwise(0.0)
+    # The total is one row.
+    found = functools.reduce(DataFrame.unionByName, per_value)
+    return found.select("dimension", "value", "target", "held").withColumn("total", total.scalar()).select(
+        "dimension", "value", "target", reached.alias("reached")
+    )
+
+
+def rake(
+    cells: DataFrame, names: Sequence[str], rounds: int = ROUNDS, deviation: float = DEVIATION
+) -> DataFrame:
     """Iterative proportional fitting: ``cells`` with a weight such that the tokens
     times the weights have the target shares in every dimension.
 
-    A round goes through the dimensions and scales the cells of each value to its target. What is gathered per
+    A round goes through the dimensions and scales the cells of each value to its target. What is summed per
     value are cells, one row for each combination with the values of the other dimensions; documents
-    stay where they are. All rounds are one plan over the cells, which are written down before.
+    stay where they are. A round is one plan, and its cells are written down. After ``rounds`` of them it goes on while some
+    share is more than ``deviation`` from its target, up to ``LAST_ROUND``.
     """
     raked = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
+    for done in range(1, max(rounds, LAST_ROUND) + 1):
         for name in names:
-            held = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(name))
-            factor = F.when(held > 0, F.col(f"target_{name}") / held).otherwise(0.0)
-            raked = raked.withColumn("weight", F.col("weight") * factor)
+            raked = _with_sums(raked, name, F.col("tokens") * F.col("weight"), "_held")
+            factor = F.when(F.col("_held") > 0, F.col(f"target_{name}") / F.col("_held")).otherwise(0.0)
+            raked = raked.withColumn("weight", F.col("weight") * factor).drop("_held")
+        raked = scratch_table(raked, "raked")
+        if done >= rounds:
+            apart = marginals(raked, names).agg(F.max(F.abs(F.col("reached") - F.col("target")))).first()[0]
+            if apart is None or apart <= deviation:
+                break
     return raked
 
 
@@ -117,6 +158,42 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def _mark(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id"),
+        F.col("source"),
+        F.col("lang"),
+        topic_of(F.col("text")).alias("topic"),
+        tokens_of(F.col("text")).alias("tokens"),
+    )
+
+
+def calibrate(
+    marked: DataFrame,
+    temperatures: Mapping[str, float] = TEMPERATURES,
+    targets: Mapping[str, DataFrame] | None = None,
+    rounds: int = ROUNDS,
+    short: float = 0.0,
+) -> DataFrame:
+    """The cells of ``marked`` documents: source, lang, topic, tokens, their targets, and the probability as ``weight``."""
+    names = list(TEMPERATURES)
+    cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
+    aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
+    raked = rake(aimed, names, rounds)
+    top = level(raked, short)
+    return raked.withColumn("weight", F.least(F.lit(1.0), F.round(F.col("weight") / F.lit(top), 9)))
+
+
+def mix_shares(docs: DataFrame, **how) -> DataFrame:
+    """What ``mix`` called alike aims at and reaches: dimension, value, target and reached share of tokens.
+
+    Reached shares are those to expect of the sample, with rare cells that are taken whole. A value of NULL is a row like
+    any other; an empty table gives no rows.
+    """
+    return marginals(calibrate(_mark(docs), **how), list(TEMPERATURES))
+
+
 def mix(
     docs: DataFrame,
     temperatures: Mapping[str, float] = TEMPERATURES,
@@ -137,23 +214,11 @@ def mix(
     token. Repeated rows, and all with one doc_id in one cell, stay or go together. An empty
     table gives an empty one.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(
-        row,
-        F.col("doc_id"),
-        F.col("source"),
-        F.col("lang"),
-        topic_of(F.col("text")).alias("topic"),
-        tokens_of(F.col("text")).alias("tokens"),
-    )
+    marked = _mark(docs)
     names = list(TEMPERATURES)
-    cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
-    aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
-    raked = scratch_table(rake(aimed, names, rounds), "raked")
-    top = level(raked, short)
-    shares = raked.select(
-        *[F.col(name).alias(f"_{name}") for name in names],
-        F.least(F.lit(1.0), F.round(F.col("weight") / F.lit(top), 9)).alias("probability"),
+    cells = calibrate(marked, temperatures, targets, rounds, short)
+    shares = cells.select(
+        *[F.col(name).alias(f"_{name}") for name in names], F.col("weight").alias("probability")
     )
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names]
     return marked.join(shares, same[0] & same[1] & same[2]).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from areashare.llm.mixing import ROUNDS, SEED, TEMPERATURES, TOPICS
+from areashare.llm.mixing import ROUNDS, SEED, SHORT, TEMPERATURES, TOPICS
 
 OP1 = r"""
 WITH keyed AS (
@@ -19,7 +19,11 @@ WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
 
 
 def _mixing() -> str:
-    """The raking rounds as one view after the other."""
+    """The raking rounds as one view after the other, then the level from which on cells stay whole.
+
+    What cells above a level lack is the greatest sum of tokens * (weight - level) over any of them, and that over the
+    cells from some weight on; so the level sought is the greatest that one of these asks for.
+    """
     topic = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
     names = ", ".join(TEMPERATURES)
     marked = rf"""
@@ -46,8 +50,11 @@ cells AS (SELECT {names}, sum(tokens)::BIGINT AS tokens FROM marked GROUP BY ALL
     same = " AND ".join(f"m.{name} IS NOT DISTINCT FROM c.{name}" for name in TEMPERATURES)
     return f"""
 WITH {", ".join(views)},
+heaviest AS (SELECT sum(tokens * weight) OVER w AS asked, sum(tokens) OVER w AS held, sum(tokens * weight) OVER () AS total
+             FROM {last} WINDOW w AS (ORDER BY weight DESC ROWS UNBOUNDED PRECEDING)),
+top AS (SELECT max((asked - {SHORT} * total) / held) AS level FROM heaviest),
 shares AS (SELECT m.doc_id, m.topic, m.tokens::BIGINT AS tokens,
-                  round(c.weight / (SELECT max(weight) FROM {last}), 9) AS p
+                  least(1, round(c.weight / (SELECT level FROM top), 9)) AS p
            FROM marked m JOIN {last} c ON {same})
 SELECT doc_id, topic, tokens, round(p, 6) AS probability,
        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < p

@@ -93,7 +93,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), short=mixing.SHORT)
     return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 

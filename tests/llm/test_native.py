@@ -1,5 +1,8 @@
 """Exact deduplication, line deduplication and mixing."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +185,65 @@ def test_a_stray_row_hardly_changes_the_pipelines_mix(spark):
     assert all(len(kept[0] ^ other) < 0.05 * len(kept[0]) for other in kept[1:])
 
 
+def test_the_query_stands_a_stray_row(spark, tmp_path):
+    from areashare.llm.queries import op9_mixing
+
+    rows = [(i, "word " * (200 + i % 90), f"s{i % 4}", "en" if i % 3 else "de", "x", 0.0) for i in range(1200)]
+    kept = []
+    for extra in ([], [(5000, "word", None, "en", "x", 0.0)]):
+        folder = tmp_path / str(len(extra))
+        table = spark.createDataFrame(rows + extra, MIXED).withColumn("n_chars", F.length("text").cast("bigint"))
+        table.write.parquet(str(folder / "documents.parquet"))
+        kept.append({r.doc_id for r in op9_mixing(spark, str(folder)).where("sampled").collect()})
+    assert 5000 in kept[1] and len(kept[0] ^ kept[1]) < 0.05 * len(kept[0])
+
+
+def test_target_and_reached_shares(spark):
+    # Dimensions that hang together, so that a round undoes part of the one before.
+    rows = [(i, "word " * (1 + i % 5), f"s{i * i % 11 % 3}", "de" if i % 4 > i % 3 else None, "x", 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows, MIXED)
+    found = mixing.mix_shares(df).collect()
+    assert {(r.dimension, r.value) for r in found} >= {("source", "s0"), ("lang", None), ("topic", "prose")}
+    for name, power in mixing.TEMPERATURES.items():
+        own = [r for r in found if r.dimension == name]
+        tokens = mixing._mark(df).groupBy(name).agg(F.sum("tokens")).collect()
+        total = sum(t[1] ** power for t in tokens)
+        assert {r.value: pytest.approx(r.target) for r in own} == {t[0]: t[1] ** power / total for t in tokens}
+        assert sum(r.reached for r in own) == pytest.approx(1)
+        assert all(abs(r.reached - r.target) <= mixing.DEVIATION + 1e-6 for r in own)
+    assert mixing.mix_shares(spark.createDataFrame([], MIXED)).collect() == []
+
+
+def test_raking_against_brute_force(spark):
+    rng = random.Random(9)
+    cells = [(f"s{a}" if a else None, f"l{b}", f"t{c}", rng.randint(1, 500)) for a in range(5) for b in range(4) for c in range(3) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
+    names = list(mixing.TEMPERATURES)
+    targets = []
+    for d, power in enumerate(mixing.TEMPERATURES.values()):
+        sums = collections.Counter()
+        for cell in cells:
+            sums[cell[d]] += cell[3]
+        whole = sum(n**power for n in sums.values())
+        targets.append({value: n**power / whole for value, n in sums.items()})
+    weights = [1.0] * len(cells)
+    for _ in range(8):
+        for d in range(3):
+            held = collections.Counter()
+            for cell, w in zip(cells, weights):
+                held[cell[d]] += cell[3] * w
+            weights = [w * targets[d][cell[d]] / held[cell[d]] for cell, w in zip(cells, weights)]
+    found = mixing.rake(mixing.tempered_targets(df, mixing.TEMPERATURES), names, rounds=8, deviation=1.0).collect()
+    assert {tuple(r)[:3]: pytest.approx(r.weight, rel=1e-9) for r in found} == {c[:3]: w for c, w in zip(cells, weights)}
+
+
+def test_contradicting_targets_come_to_an_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAST_ROUND", 3)
+    df = spark.createDataFrame([("a", "x", 5, 0.9, 0.2), ("b", "y", 5, 0.1, 0.8)], "s string, l string, tokens bigint, target_s double, target_l double")
+    found = mixing.rake(df, ["s", "l"], rounds=2).collect()
+    assert sorted(r.weight * r.tokens for r in found) == [pytest.approx(0.2), pytest.approx(0.8)]
+
+
 def test_topics_and_tokens(spark):
     texts = {
         "a | b": ("table", 3),
@@ -213,5 +275,10 @@ def test_no_python_in_native_plans(spark, tmp_path):
 
     docs(spark, *EQUAL).write.parquet(str(tmp_path / "docs"))
     df = spark.read.parquet(str(tmp_path / "docs"))
-    for found in (line_dedup.line_dedup(df), mixing.mix(df)):
+    for found in (
+        line_dedup.line_dedup(df),
+        mixing.mix(df),
+        mixing.mix_shares(df),
+        exact_dedup(spark, str(tmp_path / "docs")),
+    ):
         assert "Python" not in plan(found) and "Arrow" not in plan(found)

@@ -49,7 +49,7 @@ def test_pipeline(spark, tmp_path):
     assert [i for i, text in cut.items() if shared in text] == [60] and cut[66] == "" and len(cut) == 67
     prints = {i: brute_fingerprint(text) for i, text in cut.items()}
     assert {r.doc_id for r in after["simhash_near_dedup"]} == set(brute_components(prints).values())
-    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "simhash_near_dedup"))).collect()
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "simhash_near_dedup")), short=mixing.SHORT).collect()
     assert {r.doc_id for r in after["mixing"]} == {r.doc_id for r in mixed if r.sampled}
     expected = collections.Counter()
     for r in after["mixing"]:
