@@ -180,7 +180,8 @@ def calibrate(
     names = list(TEMPERATURES)
     cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
-    raked = rake(aimed, names, rounds)
+    # Written down, as the sums of a round read it several times over.
+    raked = rake(scratch_table(aimed, "targets"), names, rounds)
     top = level(raked, short)
     return raked.withColumn("weight", F.least(F.lit(1.0), F.round(F.col("weight") / F.lit(top), 9)))
 
