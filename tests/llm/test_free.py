@@ -47,6 +47,25 @@ def test_word_by_word_is_the_same(monkeypatch):
         assert [list(x) for x in np.split(ids, ends[:-1])] == [list(ids_of(text)) for text in texts]
 
 
+def test_words_with_marks_at_the_end_are_learnt_without_them(monkeypatch):
+    own = tokens.WordEncoder(tokenizer_path())
+    text = "word*** Word%%% word.### straße, STRASSE; é$$$ É&&& don't, l' '' word\u0338 x=\u0338"
+    assert list(own.encode([text.encode()], 1)[0]) == list(ids_of(text))
+    assert {b"word", b"stra\xc3\x9fe", b"\xc3\xa9", b"***", b"&&&", b"don't"} <= set(own.number)
+    assert not {b"word%%%", b"word.###", b"stra\xc3\x9fe,", b"\xc3\xa9$$$"} & set(own.number)
+    # Plain words in one go, whatever stands between them, also when some were forgotten.
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 40)
+    rng = random.Random(5)
+    parts = [
+        *"abcxyz", "ß", "ö", "ø", "÷", "ÿ", "À", "Ø", "×", "ı", "İ", "Ÿ", "\u0301", "\u0338", "'", "'ll", "'S", "''", ",", "<", "=", "|",
+        "_", "`", "~", "7", "★", "<|endoftext|>", " ", " ", "  ", "\n", "\x0b", "\u2028", "\xa0",
+    ]
+    for _ in range(100):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(20)]
+        ids, ends = own.encode([text.encode() for text in texts], 1)
+        assert [list(x) for x in np.split(ids, ends[:-1])] == [list(ids_of(text)) for text in texts]
+
+
 def test_token_files(spark, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_files(docs(spark), path, tokenizer_path())
