@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from areashare.llm.key_filter import key_filter, thinned
 from areashare.llm.simhash import components
-from areashare.llm.tokens import as_bytes
+from areashare.llm.tokens import as_bytes, parts
 from areashare.sources.storage import scratch_table
 
 SHINGLE = 3
@@ -28,9 +28,9 @@ EMPTY = 0xFF
 DEVIATIONS = 4.5
 # Classes of a band compared with each other at a time, and pairs held for it.
 BLOCK = 1024
-HELD_PAIRS = 1 << 16
+HELD_PAIRS = 1 << 13
 # Words whose hashes a worker keeps.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 
 SETS = "doc_id bigint, key bigint, n_shingles bigint, digest binary, registers binary"
 
@@ -179,7 +179,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sketches = [], [], []
-            for text in as_bytes(batch.column(2)):
+            for text in (text for _, texts in parts(batch, batch.column(2)) for text in texts):
                 found = shingle_set(text, shingle)
                 sizes.append(len(found))
                 digests.append(hashlib.sha256(found.tobytes()).digest()[:16])
@@ -287,14 +287,14 @@ def _verify(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            ids = batch.column("u").to_pylist()
-            texts = zip(as_bytes(batch.column("text_u")), as_bytes(batch.column("text_v")))
-            same = []
-            for u, (one, other) in zip(ids, texts):
-                if u != last:
-                    last, held = u, shingle_set(one, shingle)
-                same.append(similar(held, shingle_set(other, shingle), percent))
-            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
+            for part, others in parts(batch, batch.column("text_v")):
+                ids, ones = part.column("u").to_pylist(), part.column("text_u")
+                same = []
+                for i, (u, other) in enumerate(zip(ids, others)):
+                    if u != last:
+                        last, held = u, shingle_set(as_bytes(ones.slice(i, 1))[0], shingle)
+                    same.append(similar(held, shingle_set(other, shingle), percent))
+                yield part.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
     return run
 

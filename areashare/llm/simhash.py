@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areashare.llm.tokens import as_bytes
+from areashare.llm.tokens import parts
 from areashare.sources.storage import scratch_table
 
 BITS = 64
@@ -47,7 +47,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text, shingle, seed) for text in as_bytes(batch.column(1))]
+            texts = (text for _, some in parts(batch, batch.column(1)) for text in some)
+            found = [fingerprint(text, shingle, seed) for text in texts]
             bits = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["doc_id", "bits"])
 
@@ -154,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = least.select("u", F.least("u", "m").alias("m"))
         # Larger neighbours of u go to the smallest node around u.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch_table(large.distinct(), "edges")
+        large = large.distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(
             F.explode(
@@ -202,14 +203,15 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) ->
     )
 
 
-def _with_bits(shingle: int, seed: int):
+def _with_bits(at: int, shingle: int, seed: int):
+    """Rows with their fingerprints; the text is field ``at`` of the row, so that it is handed over once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text, shingle, seed) for text in as_bytes(batch.column("_text"))]
-            bits = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("_id"), bits], names=["_row", "_id", "_bits"]
-            )
+            for part, texts in parts(batch, batch.column("_row").field(at)):
+                found = [fingerprint(text, shingle, seed) for text in texts]
+                bits = pa.array(np.array(found, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, bits], names=["_row", "_id", "_bits"])
 
     return run
 
@@ -222,9 +224,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Dat
     the choice is made on numbers alone.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    packed = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
+    packed = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"))
+    at = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([packed.schema["_row"], packed.schema["_id"], T.StructField("_bits", T.LongType())])
-    rows = packed.mapInArrow(_with_bits(shingle, seed), schema)
+    rows = packed.mapInArrow(_with_bits(at, shingle, seed), schema)
     rows = scratch_table(rows.withColumn("_nth", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("_id").isNull(), "_id", "_nth")
     first = rows.groupBy(F.col("_bits").alias("bits")).agg(F.min(order).alias("first"))

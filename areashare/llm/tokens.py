@@ -177,6 +177,20 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def parts(batch: pa.RecordBatch, column: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch in parts of about ``SLICE_BYTES`` of the texts in ``column``, with these as UTF-8, null as empty.
+
+    A longer text is a part of its own. So a worker holds a few of a batch's texts a second time, not all of them.
+    """
+    size = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy().astype(np.int64) + 1
+    upto, begin = np.cumsum(size), 0
+    while begin < len(upto):
+        end = int(np.searchsorted(upto, upto[begin] - size[begin] + SLICE_BYTES, "right"))
+        n = max(1, end - begin)
+        yield batch.slice(begin, n), as_bytes(column.slice(begin, n))
+        begin += n
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8, null as empty."""
     return [text or b"" for text in column.cast(pa.binary()).to_pylist()]

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from areashare.llm import hyperminhash, key_filter
+from areashare.llm import hyperminhash, key_filter, simhash, tokens
 
 DOCS = "doc_id bigint, text string, digest string, c bigint, least int, n_shingles string"
 
@@ -154,3 +155,27 @@ def test_key_filter_lets_all_keys_by(spark):
     assert found >= set(range(5000)) and len(found) < 5100
     nothing = key_filter.key_filter(keys.limit(0))
     assert key_filter.thinned(rows, "key", nothing).count() == 0
+
+
+def test_few_texts_of_a_batch_are_held_twice(monkeypatch):
+    texts = [f"w{i} a b c d e f g".encode() for i in range(40)]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array([*texts, None, b"x" * 300])], names=["n", "t"])
+    found = list(tokens.parts(batch.slice(1), batch.slice(1).column("t")))
+    assert [text for _, part in found for text in part] == [*texts[1:], b"", b"x" * 300]
+    assert [n for part, _ in found for n in part.column("n").to_pylist()] == list(range(1, 42))
+    assert all(len(part) == 1 or sum(map(len, part)) <= 100 for _, part in found)
+    assert not list(tokens.parts(batch.slice(0, 0), batch.slice(0, 0).column("t")))
+    # Each of these goes through a batch part by part.
+    ids = pa.array([1] * 20 + [2] * 20)
+    pairs = [ids, pa.array(range(40)), pa.array([texts[0]] * 20 + [texts[39]] * 20), pa.array(texts)]
+    pairs = pa.RecordBatch.from_arrays(pairs, names=["u", "v", "text_u", "text_v"])
+    found = list(hyperminhash._verify(3, 85)(iter([pairs])))
+    assert len(found) > 1
+    assert [r for part in found for r in part.column("v").to_pylist()] == [0, 39]
+    rows = pa.StructArray.from_arrays([pa.array(range(40)), pa.array(texts).cast(pa.string())], names=["doc_id", "text"])
+    rows = pa.RecordBatch.from_arrays([rows, pa.array(range(40))], names=["_row", "_id"])
+    found = list(simhash._with_bits(1, 3, 42)(iter([rows])))
+    assert len(found) > 1
+    bits = [b % (1 << 64) for part in found for b in part.column("_bits").to_pylist()]
+    assert bits == [simhash.fingerprint(text) for text in texts]
