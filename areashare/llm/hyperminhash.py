@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from areashare.llm.key_filter import key_filter, thinned
 from areashare.llm.simhash import components
-from areashare.llm.tokens import as_bytes, parts
-from areashare.sources.storage import scratch_table
+from areashare.llm.tokens import as_bytes, map_texts, parts
+from areashare.sources.storage import narrow_table, scratch_table
 
 SHINGLE = 3
 PERCENT = 85
@@ -210,7 +210,7 @@ def shingle_classes(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame,
     A class of equal sets has a number, its smallest doc_id, size and registers, and the key
     of one row that has the set.
     """
-    rows = scratch_table(_keyed(docs).mapInArrow(_sets(shingle), SETS), "sets")
+    rows = scratch_table(map_texts(_keyed(docs), _sets(shingle), SETS), "sets")
     found = (
         rows.where("n_shingles > 0")
         .groupBy("digest")
@@ -304,7 +304,7 @@ def verified(
 ) -> DataFrame:
     """The pairs whose full sets are as similar. Only texts that some pair needs are shuffled."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
-    needed = scratch_table(classes.select("c", "key").join(needed.hint("merge"), "c"), "needed")
+    needed = narrow_table(classes.select("c", "key").join(needed.hint("merge"), "c"), "needed")
     held = key_filter(needed.select("key"))
     texts = thinned(_keyed(docs).select("key", "text"), "key", held)
     # A row that repeats is one text.
@@ -313,7 +313,7 @@ def verified(
     one, other = (_renamed(texts, side, side, "text").hint("merge") for side in "uv")
     # Sorted by u last, so that a text that many are compared with is cut up once.
     both = pairs.join(other, "v").join(one, "u")
-    return scratch_table(both.mapInArrow(_verify(shingle, percent), "u bigint, v bigint"), "links")
+    return narrow_table(map_texts(both, _verify(shingle, percent), "u bigint, v bigint"), "links")
 
 
 def _block_pairs(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
@@ -425,10 +425,10 @@ def minhash_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     full = full.select("bucket", F.col("hub.c").alias("hub"))
     buckets = scratch_table(cut.drop("least").join(full.hint("merge"), "bucket"), "buckets")
     stars = buckets.where("hub != c").select(F.col("hub").alias("u"), F.col("c").alias("v")).distinct()
-    stars = scratch_table(screened(stars, classes, percent), "pairs")
+    stars = narrow_table(screened(stars, classes, percent), "pairs")
     links = verified(docs, stars, classes, shingle, percent)
     roots = _roots(links, classes)
-    pairs = scratch_table(across(buckets.drop("hub"), roots, classes, percent), "pairs")
+    pairs = narrow_table(across(buckets.drop("hub"), roots, classes, percent), "pairs")
     more = verified(docs, pairs, classes, shingle, percent)
     roots = _roots(links.unionByName(more), classes)
     least = classes.select("c", "digest", "least").join(roots.hint("merge"), "c")
@@ -449,4 +449,4 @@ def _roots(links: DataFrame, classes: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     tied = components(edges)
     found = classes.select("c").join(tied.hint("merge"), F.col("c") == F.col("node"), "left")
-    return scratch_table(found.select("c", F.coalesce("root", "c").alias("root")), "roots")
+    return narrow_table(found.select("c", F.coalesce("root", "c").alias("root")), "roots")

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areashare.sources.storage import scratch_table
+from areashare.sources.storage import narrow_table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 # Raking goes through so many rounds at least, and on until no share is further than this from its target, or until
@@ -126,7 +126,7 @@ def rake(
             raked = _with_sums(raked, name, F.col("tokens") * F.col("weight"), "_held")
             factor = F.when(F.col("_held") > 0, F.col(f"target_{name}") / F.col("_held")).otherwise(0.0)
             raked = raked.withColumn("weight", F.col("weight") * factor).drop("_held")
-        raked = scratch_table(raked, "raked")
+        raked = narrow_table(raked, "raked")
         if done >= rounds:
             apart = marginals(raked, names).agg(F.max(F.abs(F.col("reached") - F.col("target")))).first()[0]
             if apart is None or apart <= deviation or apart > 0.99 * before:
@@ -181,10 +181,10 @@ def calibrate(
 ) -> DataFrame:
     """The cells of ``marked`` documents: source, lang, topic, tokens, their targets, and the probability as ``weight``."""
     names = list(TEMPERATURES)
-    cells = scratch_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = narrow_table(marked.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
     aimed = given_targets(cells, targets) if targets else tempered_targets(cells, temperatures)
     # Written down, as the sums of a round read it several times over.
-    raked = rake(scratch_table(aimed, "targets"), names, rounds)
+    raked = rake(narrow_table(aimed, "targets"), names, rounds)
     top = level(raked, short)
     return raked.withColumn("weight", F.least(F.lit(1.0), F.round(F.col("weight") / F.lit(top), 9)))
 

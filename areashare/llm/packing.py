@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areashare.llm.tokens import as_bytes, encoder, ids_crc32, slices
+from areashare.llm.tokens import encoder, ids_crc32, map_texts, parts
 from areashare.sources.storage import scratch_table
 
 END_ID = 1
@@ -107,9 +107,8 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
         shard = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for begin, end in slices(texts):
-                ids, ends = encoder(tokenizer).encode(texts[begin:end], end_id)
+            for part, texts in parts(batch, batch.column(1)):
+                ids, ends = encoder(tokenizer).encode(texts, end_id)
                 size = np.diff(ends, prepend=0)
                 n_pieces = -(-size // capacity)
                 doc = np.repeat(np.arange(len(size)), n_pieces)
@@ -127,7 +126,7 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, end - begin).take(pa.array(doc)),
+                        part.column(0).take(pa.array(doc)),
                         pa.array(nth, pa.int32()),
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
@@ -171,7 +170,7 @@ def best_fit_packing(
     their rank within their length.
     """
     text = docs.select(F.col("doc_id").cast("bigint"), "text")
-    pieces = scratch_table(text.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES), "pieces")
+    pieces = scratch_table(map_texts(text, _cut(tokenizer, capacity, end_id), PIECES), "pieces")
     counts = pieces.groupBy("shard", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(
         Window.unboundedPreceding, -1

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areashare.llm.key_filter import key_filter, thinned
-from areashare.llm.tokens import as_bytes, slices
+from areashare.llm.tokens import map_texts, parts
 
 BUCKETS = 1 << 16
 NGRAM = 3  # bytes
@@ -45,12 +45,13 @@ def _counts(texts: DataFrame, name: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                total += np.bincount(ngram_buckets(text), minlength=BUCKETS)
+            for _, texts in parts(batch, batch.column("text")):
+                for text in texts:
+                    total += np.bincount(ngram_buckets(text), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", name])
 
-    counted = texts.mapInArrow(count, f"bucket bigint, {name} bigint")
+    counted = map_texts(texts, count, f"bucket bigint, {name} bigint")
     total = np.zeros(BUCKETS)
     for row in counted.groupBy("bucket").agg(F.sum(name).alias(name)).collect():
         total[row.bucket] = row[name]
@@ -124,11 +125,10 @@ def judge(texts: list[bytes], ratio: np.ndarray, threshold: float) -> list[np.nd
 def _judge(ratio: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for begin, end in slices(texts):
-                found = [pa.array(x) for x in judge(texts[begin:end], ratio, threshold)]
+            for part, texts in parts(batch, batch.column(1)):
+                found = [pa.array(x) for x in judge(texts, ratio, threshold)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), *found],
+                    [part.column(0), *found],
                     names=[f.split()[0] for f in RULES.split(", ")],
                 )
 
@@ -138,10 +138,8 @@ def _judge(ratio: np.ndarray, threshold: float):
 def _keep(ratio: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for begin, end in slices(texts):
-                kept = judge(texts[begin:end], ratio, threshold)[-1]
-                yield batch.slice(begin, end - begin).filter(pa.array(kept))
+            for part, texts in parts(batch, batch.column("text")):
+                yield part.filter(pa.array(judge(texts, ratio, threshold)[-1]))
 
     return run
 
@@ -156,9 +154,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     alike; a null doc_id is never trusted; other columns are not read. An empty table gives an empty one.
     """
     text = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return text.mapInArrow(_judge(ratios(docs, trusted), threshold), RULES)
+    return map_texts(text, _judge(ratios(docs, trusted), threshold), RULES)
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
-    return docs.mapInArrow(_keep(ratios(docs, trusted), threshold), docs.schema)
+    return map_texts(docs, _keep(ratios(docs, trusted), threshold), docs.schema)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areashare.llm.tokens import parts
-from areashare.sources.storage import scratch_table
+from areashare.llm.tokens import map_texts, parts
+from areashare.sources.storage import narrow_table, scratch_table
 
 BITS = 64
 SEGMENTS = 2
@@ -58,7 +58,7 @@ def _fingerprints(shingle: int, seed: int):
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and its fingerprint as a signed 64-bit integer, for every row and whole text."""
     text = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return text.mapInArrow(_fingerprints(shingle, seed), "doc_id bigint, bits bigint")
+    return map_texts(text, _fingerprints(shingle, seed), "doc_id bigint, bits bigint")
 
 
 def _long(mask: int) -> Column:
@@ -124,7 +124,7 @@ def candidates(distinct: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD
     entries = spread.select("bits", F.inline(_places(segments, 0)))
     looks = spread.select("bits", F.inline(_places(segments, DISTANCE // segments))).where("value is not null")
     crowded = entries.groupBy("segment", "value").count().where(F.col("count") > crowd)
-    crowded = scratch_table(crowded.select("segment", "value", F.lit(True).alias("crowded")), "crowded")
+    crowded = narrow_table(crowded.select("segment", "value", F.lit(True).alias("crowded")), "crowded")
 
     def keyed(rows: DataFrame, name: str) -> DataFrame:
         marked = rows.join(crowded, ["segment", "value"], "left")
@@ -146,9 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: each round ties larger neighbours to the smallest one known and then each
     node's smaller neighbours to the smallest of them, until every node is tied to its root alone. Rounds
     grow with the logarithm of the longest chain. Neighbours are joined, never gathered, and a
-    round's edges are written to the shared folder.
+    round's edges are written to the shared folder. ``edges`` are read twice: better a table than a plan of much work.
     """
-    edges = scratch_table(edges.select("u", "v"), "edges")
+    edges = edges.select("u", "v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -165,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         )
-        after = scratch_table(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        after = narrow_table(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
         # Stars only: no node is both a root and tied to another one, and none is tied twice.
         n, tied = after.agg(F.count("*"), F.count_distinct("u")).first()
         roots = after.select(F.col("v").alias("u")).distinct()
@@ -176,10 +176,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(distinct: DataFrame) -> DataFrame:
     """(bits, root) of every distinct fingerprint; the root names its component."""
-    distinct = scratch_table(distinct.select("bits").distinct(), "fingerprints")
-    roots = components(links(distinct))
+    distinct = narrow_table(distinct.select("bits").distinct(), "fingerprints")
+    roots = components(narrow_table(links(distinct), "edges"))
     rooted = distinct.join(roots, distinct.bits == roots.node, "left")
-    return scratch_table(rooted.select("bits", F.coalesce("root", "bits").alias("root")), "components")
+    return narrow_table(rooted.select("bits", F.coalesce("root", "bits").alias("root")), "components")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -227,7 +227,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Dat
     packed = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"))
     at = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([packed.schema["_row"], packed.schema["_id"], T.StructField("_bits", T.LongType())])
-    rows = packed.mapInArrow(_with_bits(at, shingle, seed), schema)
+    rows = map_texts(packed, _with_bits(at, shingle, seed), schema)
     rows = scratch_table(rows.withColumn("_nth", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("_id").isNull(), "_id", "_nth")
     first = rows.groupBy(F.col("_bits").alias("bits")).agg(F.min(order).alias("first"))

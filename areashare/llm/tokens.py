@@ -11,16 +11,19 @@ import functools
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Words kept per worker; past that, those not met twice since the last time go.
 KEPT_WORDS = 500_000
 # Bytes of text encoded at a time, one longer text apart.
 SLICE_BYTES = 1 << 20
+# Rows of a batch of texts.
+TEXTS_PER_BATCH = 1000
 # What special tokens begin with, which are found in a text as it stands.
 SPECIAL = "<|"
 # Stands between words that are encoded together; has an id of its own as a word.
@@ -177,6 +180,18 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts.
+
+    The session's limit of rows in a batch, 10,000 if nobody sets one, comes down to ``TEXTS_PER_BATCH`` and stays
+    there: a batch stands in Python and, in vectors that double as they grow, outside of the heap of the JVM.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return rows.mapInArrow(run, schema)
+
+
 def parts(batch: pa.RecordBatch, column: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """A batch in parts of about ``SLICE_BYTES`` of the texts in ``column``, with these as UTF-8, null as empty.
 

@@ -31,6 +31,22 @@ def own_folder(spark: SparkSession) -> None:
         spark.conf.set(OWN_FOLDER, tempfile.mkdtemp(prefix="areashare-"))
 
 
+# Files of a narrow table for each core, and at least so many.
+FILES_PER_CORE, LEAST_FILES = 4, 32
+
+
+def narrow_table(df: DataFrame, name: str) -> DataFrame:
+    """A scratch table of a few numbers a row, in a few files for each core of the cluster at most.
+
+    After a shuffle of many partitions that are not merged, such rows would be a small file in each of them, and a
+    file costs more than its rows: on a local disk the file system starts two processes to set its rights and those of its
+    checksums. Nothing is shuffled, and plans of fewer partitions stay as they are. Not for plans whose Python tasks tell
+    themselves apart by their partition.
+    """
+    n = max(LEAST_FILES, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return scratch_table(df.coalesce(n), name)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

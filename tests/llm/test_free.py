@@ -8,14 +8,17 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import assume, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from areashare.llm import html_text, packing, quality, secrets, simhash, token_files, tokens, toxicity
 from areashare.llm.automaton import RuleSet
 from areashare.llm.queries import tokenizer_path
+from areashare.sources import storage
 
 DOCS = "doc_id bigint, text string, length bigint, shard string"
 TEXTS = [
@@ -473,3 +476,47 @@ def test_simhash_groups(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
     assert simhash.simhash_groups(docs(spark, [])).collect() == []
     assert simhash.near_dedup(docs(spark, [])).collect() == []
+
+
+def test_narrow_tables_have_few_files(spark):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    kept = {key: spark.conf.get(key) for key in keys}
+    most = max(storage.LEAST_FILES, storage.FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    try:
+        spark.conf.set(keys[0], str(3 * most))
+        spark.conf.set(keys[1], "false")
+        counts = spark.range(0, 5000, 1, 4).groupBy(F.pmod("id", F.lit(1000)).alias("id")).count()
+        many, few = storage.scratch_table(counts, "many"), storage.narrow_table(counts, "few")
+        assert len(few.inputFiles()) <= most < len(many.inputFiles())
+        assert sorted(few.collect()) == sorted(many.collect()) and few.schema == many.schema
+        # The rounds of components write such tables.
+        edges = spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+        found = simhash.components(edges)
+        assert len(found.inputFiles()) <= most
+        assert {r.root for r in found.collect()} == {0} and found.count() == 299
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    # Plans of fewer partitions, and empty ones, stay as they are.
+    assert len(storage.narrow_table(spark.range(0, 10, 1, 2), "two").inputFiles()) == 2
+    assert storage.narrow_table(spark.range(0), "none").count() == 0
+
+
+def test_batches_of_texts_are_small(spark):
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", "n bigint"
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    kept = spark.conf.get(key)
+    try:
+        for limit, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(key, limit)
+            found = [r.n for r in tokens.map_texts(spark.range(0, 2500, 1, 1), count, sizes).collect()]
+            assert sum(found) == 2500 and max(found) == most
+        spark.conf.set(key, "10000")
+        quality.keep_good(docs(spark), spark.createDataFrame([(3,)], "doc_id bigint")).collect()
+        assert spark.conf.get(key) == str(tokens.TEXTS_PER_BATCH)
+    finally:
+        spark.conf.set(key, kept)
